@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, quality, suffix_dedup
+from . import bpe, chat, exact_dedup, hilbert, ngram_join, packing, quality, suffix_dedup, url_filter, vector_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.score(pages, url_filter.train_on(url_filter.labelled_pages(pages, _table(spark, sf_dir, "labels"))))
+
+
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_file.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -33,13 +54,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
-        "op2_suffix_dedup": op2_suffix_dedup,
-        "op4_ngram_join": op4_ngram_join,
-        "op5_packing": op5_packing,
-        "op9_quality": op9_quality,
-        "op10_exact_dedup": op10_exact_dedup,
-    }
+    found = (op1_url_filter, op2_suffix_dedup, op3_hilbert_sharding, op4_ngram_join, op5_packing, op6_chat_repair, op7_top_k, op8_bpe, op9_quality, op10_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 #: Words of a text as the n-gram join sees them.
@@ -58,6 +74,12 @@ o AS (
 """
 
 ORACLES = {
+    "op7_top_k": f"""
+WITH p AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id)::INT AS rank, neighbor_id, round(d, 6) AS distance
+FROM p QUALIFY rank <= {vector_file.K}""",
     "op4_ngram_join": _GRAMS
     + f"""SELECT doc_a, doc_b, round(c / (na + nb - c), 6) AS jaccard FROM o WHERE c / (na + nb - c) >= {ngram_join.THRESHOLD}
 UNION ALL SELECT DISTINCT r.doc_id, g.doc_id, 1.0::DOUBLE FROM g JOIN r ON g.g = r.g WHERE g.doc_id <> r.doc_id""",
