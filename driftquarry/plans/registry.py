@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
+from . import base
+
+for _name in ("kernel_queries", "stat_queries"):
+    importlib.import_module(f"{__package__}.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
