@@ -57,7 +57,7 @@ def totals(mods: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(scored, F.col("n_params"))), F.lit(0)).alias("scored_n_params"),
         F.max(F.col("scales_shape").isNotNull() | F.col("default_bits").isNotNull()).alias("quantized"),
     )
-    return out.withColumn("effective_bpw", _bpw(F.col("size_bytes"), F.col("n_params"))).withColumn("scored_bpw", _bpw(F.col("scored_bytes"), F.col("scored_n_params"))).withColumn("format", F.when("quantized", "mlx-affine").otherwise("mlx"))
+    return out.withColumn("effective_bpw", _bpw(F.col("size_bytes"), F.col("n_params"))).withColumn("scored_bpw", _bpw(F.col("scored_bytes"), F.col("scored_n_params"))).withColumn("format", F.when(F.col("quantized"), "mlx-affine").otherwise("mlx"))
 
 
 def codec_parameters(tensors: DataFrame, codecs: DataFrame, geometry: DataFrame) -> DataFrame:
