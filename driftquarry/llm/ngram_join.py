@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from .common import binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
 
 N, THRESHOLD = 5, 0.45
-#: n-grams of a fragment, candidate pairs of a block.
-FRAGMENT, BLOCK = 2_000_000, 250_000
+#: n-grams of a fragment where pairs meet and where overlaps are counted, candidate pairs of a block.
+MEETING, FRAGMENT, BLOCK = 250_000, 2_000_000, 250_000
 
 #: bucket and chunk name the packed arrays; of a chunk's own row (kind 1): ids, sizes and set signatures.
 _PACKED = "bucket int, chunk long, kind int, docs binary, low binary, high binary"
-_MEMBERS = "doc_id long, size int, sig binary, grams binary"
+_MEMBERS = "doc_id long, row long, size int, sig binary, grams binary"
 
 
 def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def _steps(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _scatter(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    chunk = TaskContext.get().partitionId() << 32
+    chunk = TaskContext.get().partitionId() << 20  # a task's slices and a slice's texts have room in a row's number
     for batch in text_slices(batches, "text"):
         chunk += 1
         m = batch.num_rows
@@ -176,6 +176,7 @@ def _members(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table(
         {
             "doc_id": pa.array(ids[at]),
+            "row": pa.array(own.column("chunk")[0].as_py() * (1 << 23) + at),
             "size": pa.array(size[at].astype(np.int32)),
             "sig": pa.array([sigs[16 * i : 16 * i + 16] for i in at], pa.binary()),
             "grams": binaries(gram[order], bounds),
@@ -218,10 +219,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, pivots: np.nd
         place = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
         g = grams[first[owner] + place]
         place += (size - lengths)[owner]
-        fragment = np.searchsorted(pivots, g, side="right")
-        order, names, bounds = split_by(fragment, len(pivots) + 1)
-        entry = np.stack([g.view(np.int64), ids[owner], size[owner] << 32 | place], 1)[order]
-        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), binaries(entry.reshape(-1), bounds * 3)], names=["fragment", "entries"])
+        order, names, bounds = split_by(np.searchsorted(pivots, g, side="right"), len(pivots) + 1)
+        info = (size[owner] << 32 | place)[order]
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), binaries(g[order], bounds), *_runs(owner[order], bounds, ids), binaries(info, bounds)], names=["fragment", "grams", "ids", "counts", "info"])
+
+
+def _runs(owner: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of entries in order of document within each fragment: the documents' ids and how many entries each has."""
+    new = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+    new[bounds[:-1]] = True
+    starts = np.flatnonzero(new)
+    cuts = np.searchsorted(starts, bounds)
+    return binaries(ids[owner[starts]], cuts), binaries(np.diff(np.append(starts, len(owner))).astype(np.uint32), cuts)
 
 
 def _pairs_of_runs(key: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -241,12 +250,12 @@ def _pairs_of_runs(key: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[np
 
 def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     """Of one fragment: pairs that share a prefix n-gram and whose sizes and places leave room for the overlap needed."""
-    entries, _ = _joined(table.column("entries"), np.int64)
-    entries = entries.reshape(-1, 3)
-    entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
-    doc, size, place = entries[:, 1], entries[:, 2] >> 32, entries[:, 2] & 0xFFFFFFFF
+    gram, info = _joined(table.column("grams"), np.uint64)[0], _joined(table.column("info"), np.int64)[0]
+    doc = np.repeat(_joined(table.column("ids"), np.int64)[0], _joined(table.column("counts"), np.uint32)[0])
+    order = np.lexsort((doc, gram))
+    gram, doc, size, place = gram[order], doc[order], info[order] >> 32, info[order] & 0xFFFFFFFF
     found = []
-    for i, j in _pairs_of_runs(entries[:, 0]):
+    for i, j in _pairs_of_runs(gram):
         need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
         ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (doc[i] != doc[j])
         if ok.any():
@@ -262,9 +271,9 @@ def _segments(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, blocks: int
         grams, lengths = _joined(pa.chunked_array([batch.column("grams")]), np.uint64)
         owner = np.repeat(np.arange(len(ids)), lengths)
         order, names, bounds = split_by(np.searchsorted(pivots, grams, side="right"), len(pivots) + 1)
-        entry = np.stack([grams.view(np.int64), ids[owner], size[owner]], 1)[order].reshape(-1)
+        columns = [binaries(grams[order], bounds), *_runs(owner[order], bounds, ids), _runs(owner[order], bounds, size)[0]]
         for block in range(blocks):
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int32)), pa.array(np.zeros(len(names), np.int32)), binaries(entry, bounds * 3)], names=["fragment", "block", "kind", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int32)), pa.array(np.zeros(len(names), np.int32)), *columns], names=["fragment", "block", "kind", "grams", "ids", "counts", "info"])
 
 
 def _pair_blocks(batches: Iterator[pa.RecordBatch], fragments: int, blocks: int) -> Iterator[pa.RecordBatch]:
@@ -272,25 +281,27 @@ def _pair_blocks(batches: Iterator[pa.RecordBatch], fragments: int, blocks: int)
     for batch in batches:
         a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
         order, names, bounds = split_by(mix(a.astype(np.uint64)) % np.uint64(blocks), blocks)
-        entry = binaries(np.stack([a, b], 1)[order].reshape(-1), bounds * 2)
+        first, second, empty = binaries(a[order], bounds), binaries(b[order], bounds), pa.array([b""] * len(names), pa.binary())
         for fragment in range(fragments):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), fragment, np.int32)), pa.array(names.astype(np.int32)), pa.array(np.ones(len(names), np.int32)), entry], names=["fragment", "block", "kind", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), fragment, np.int32)), pa.array(names.astype(np.int32)), pa.array(np.ones(len(names), np.int32)), empty, first, empty, second], names=["fragment", "block", "kind", "grams", "ids", "counts", "info"])
 
 
 def _partial(table: pa.Table) -> pa.Table:
     """Of one fragment and block: how many of the fragment's n-grams each candidate pair has in common."""
     kind = np.asarray(table.column("kind"))
-    entries = _joined(table.filter(pa.array(kind == 0)).column("entries"), np.int64)[0].reshape(-1, 3)
-    pairs = _joined(table.filter(pa.array(kind == 1)).column("entries"), np.int64)[0].reshape(-1, 2)
+    parts, named = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+    grams = _joined(parts.column("grams"), np.uint64)[0]
+    pairs = np.stack([_joined(named.column(c), np.int64)[0] for c in ("ids", "info")], 1)
     names = ["a", "b", "common", "size_a", "size_b"]
-    if not len(entries) or not len(pairs):
+    if not len(grams) or not len(pairs):
         return pa.table([pa.array([], pa.int64())] * 5, names=names)
-    ids, doc = np.unique(entries[:, 1], return_inverse=True)
-    rank = np.unique(entries[:, 0], return_inverse=True)[1]
+    run_ids, counts, run_sizes = (_joined(parts.column(c), t)[0] for c, t in (("ids", np.int64), ("counts", np.uint32), ("info", np.int64)))
+    ids, run = np.unique(run_ids, return_inverse=True)
+    doc, rank = np.repeat(run, counts), np.unique(grams, return_inverse=True)[1]
     order = np.argsort(doc, kind="stable")
     rank, bounds = rank[order], np.searchsorted(doc[order], np.arange(len(ids) + 1))
     sizes = np.zeros(len(ids), np.int64)
-    sizes[doc] = entries[:, 2]
+    sizes[run] = run_sizes
     x, y = np.minimum(np.searchsorted(ids, pairs), len(ids) - 1).T
     here = (ids[x] == pairs[:, 0]) & (ids[y] == pairs[:, 1])
     x, y = x[here], y[here]
@@ -320,18 +331,19 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(lambda it: _scatter(it, n=n, buckets=buckets), _PACKED)
     repeated = packed.groupBy("bucket").applyInArrow(_frequencies, _PACKED)
     members = checkpointed(repeated.groupBy("chunk").applyInArrow(lambda t: _members(t, threshold=threshold), _MEMBERS))
-    sets = members.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"), F.min_by("grams", "doc_id").alias("grams"))
-    reps = checkpointed(sets.select(F.col("rep").alias("doc_id"), "size", "sig", "grams"))
-    copies = members.select("doc_id", "sig", "size").join(reps.select("sig", "size", F.col("doc_id").alias("rep")), ["sig", "size"]).where("doc_id <> rep").distinct()
+    heads = checkpointed(members.groupBy("sig", "size").agg(F.min(F.struct("doc_id", "row")).alias("head")).select("sig", "size", F.col("head.doc_id").alias("rep"), F.col("head.row").alias("row")))
+    copies = members.select("doc_id", "sig", "size").join(heads.drop("row"), ["sig", "size"]).where("doc_id <> rep").distinct()
     copies = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    reps = members.join(small_or_shuffled(heads.select("row")), "row", "left_semi").select("doc_id", "size", "grams")
 
-    pivots = _pivots(reps, FRAGMENT)
-    prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=pivots), "fragment int, entries binary")
+    meeting = _pivots(reps, MEETING)
+    prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=meeting), "fragment int, grams binary, ids binary, counts binary, info binary")
     candidates = checkpointed(prefixes.groupBy("fragment").applyInArrow(lambda t: _candidates(t, threshold=threshold), "a long, b long").distinct())
     blocks = max(1, -(-candidates.count() // BLOCK))
-    shape = "fragment int, block int, kind int, entries binary"
-    named = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    segments = reps.join(named, "doc_id", "left_semi").select("doc_id", "size", "grams").mapInArrow(lambda it: _segments(it, pivots=pivots, blocks=blocks), shape)
+    shape = "fragment int, block int, kind int, grams binary, ids binary, counts binary, info binary"
+    named = checkpointed(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    pivots = _pivots(reps, FRAGMENT)
+    segments = reps.join(small_or_shuffled(named), "doc_id", "left_semi").select("doc_id", "size", "grams").mapInArrow(lambda it: _segments(it, pivots=pivots, blocks=blocks), shape)
     pairs = candidates.mapInArrow(lambda it: _pair_blocks(it, fragments=len(pivots) + 1, blocks=blocks), shape)
     parts = segments.unionByName(pairs).groupBy("fragment", "block").applyInArrow(_partial, "a long, b long, common long, size_a long, size_b long")
     sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
