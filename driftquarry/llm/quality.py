@@ -105,7 +105,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(rows, np.arange(len(texts) + 1)), key & ((1 << BITS) - 1), (share / total[rows]).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 8, rate: float = 0.3, batch: int = 16, seed: int = 7) -> QualityModel:
+def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 5, rate: float = 0.3, batch: int = 16, seed: int = 7) -> QualityModel:
     """Fit embeddings and a two-class softmax layer by minibatch stochastic gradient descent with per-row step sizes."""
     y = np.asarray(labels, dtype=np.int64)
     if len(np.unique(y)) < 2:
@@ -120,7 +120,8 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 8, ra
     emb = rng.normal(0, 0.1, (len(used), dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
-    seen_e, seen_o, seen_b = np.full((len(used), 1), 1e-8, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
+    # The floor keeps features of one document from being learnt by heart before common ones are.
+    seen_e, seen_o, seen_b = np.full((len(used), 1), 1e-4, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             n = bounds[rows + 1] - bounds[rows]
