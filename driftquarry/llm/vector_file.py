@@ -4,14 +4,14 @@ Each dimension's range is cut into 256 equal intervals; a vector's approximation
 dimension, kept with the distance r from the cell's centre c. By the triangle inequality the distance of a query q lies
 in [|q-c| - r, |q-c| + r], so scanning approximations bounds all distances without reading vectors. Then
 
-1. scan: blocks of queries meet blocks of approximations; per query and block, the entries whose lower bound does
-   not exceed the block's kth upper bound remain,
+1. scan: blocks of queries meet parts of the file; per query and part, the entries whose lower bound does not
+   exceed the part's kth upper bound remain,
 2. over all blocks, those whose lower bound exceeds the query's kth smallest upper bound go,
 3. read: the exact vectors of the first k in order of lower bound; then, since the kth result is certain once
    the next lower bound exceeds the kth exact distance, only those of candidates up to that bound.
 
 Every vector is a query, and the answer is exact. Work is quadratic in the number of vectors, as for any exact
-search of all against all in many dimensions; memory is bounded by a pair of blocks, and what is shuffled for the
+search of all against all in many dimensions; memory is bounded by a block and a part, and what is shuffled for the
 scan is a quarter or an eighth of what vectors would take.
 
 Defined cases. Distances are Euclidean, in double precision. Vectors that are null, empty, hold nulls or
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, checkpointed
 
 K = 10
-BLOCK = 4096
+#: Vectors of a block; blocks of the file that a block of queries meets at once.
+BLOCK, PART = 4096, 16
 CELLS = 256
 #: Covers the rounding of distances computed by a matrix product.
 SLACK = 1e-6
@@ -53,25 +54,33 @@ def _approximate(table: pa.Table, low: np.ndarray, step: np.ndarray) -> pa.Table
 
 
 def _scan(table: pa.Table, low: np.ndarray, step: np.ndarray, k: int) -> pa.Table:
-    """One pair of blocks: bounds of all pairs of a query and an approximation, and the entries that may be among the k nearest of the block."""
-    row = table.slice(0, 1).to_pylist()[0]
-    q_ids, d_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    q = np.frombuffer(row["vectors"], np.float64).reshape(len(q_ids), -1)
-    c = low + (np.frombuffer(row["cells"], np.uint8).reshape(len(d_ids), -1) + 0.5) * step
-    r = np.frombuffer(row["radius"], np.float64)
-    norm, out = (c**2).sum(1), []
-    for start in range(0, len(q_ids), 256):
-        part = q[start : start + 256]
-        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + norm - 2 * (part @ c.T), 0))
-        d[q_ids[start : start + 256, None] == d_ids] = np.inf
-        upper = d + r + SLACK
-        last = min(k, len(d_ids)) - 1
-        bound = np.partition(upper, last, axis=1)[:, last]
-        lower = d - r - SLACK
-        i, j = np.nonzero((lower <= bound[:, None]) & np.isfinite(d))
-        out.append((q_ids[start + i], d_ids[j], np.maximum(lower[i, j], 0), upper[i, j]))
-    q_out, d_out, lo, up = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"q": q_out, "c": d_out, "lower": lo, "upper": up})
+    """One block of queries against some blocks of approximations: bounds of all pairs, and the entries that may be among the k nearest of these blocks."""
+    rows = table.to_pylist()
+    query = next(r for r in rows if r["vectors"] is not None)
+    q_ids = np.frombuffer(query["ids"], np.int64)
+    q, file = np.frombuffer(query["vectors"], np.float64).reshape(len(q_ids), -1), []
+    for row in sorted((r for r in rows if r["vectors"] is None), key=lambda r: r["block"]):
+        ids = np.frombuffer(row["ids"], np.int64)
+        file.append((ids, np.frombuffer(row["cells"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["radius"], np.float64)))
+    found = [[] for _ in range(4)]
+    bounds = np.full((len(q_ids), k), np.inf)  # the k smallest upper bounds so far
+    for ids, cells, r in file:
+        c = low + (cells + 0.5) * step
+        norm = (c**2).sum(1)
+        for start in range(0, len(q_ids), 256):
+            part = slice(start, start + 256)
+            d = np.sqrt(np.maximum((q[part] ** 2).sum(1)[:, None] + norm - 2 * (q[part] @ c.T), 0))
+            d[q_ids[part, None] == ids] = np.inf
+            upper = d + r + SLACK
+            least = np.partition(upper, k - 1, axis=1)[:, :k] if upper.shape[1] > k else upper
+            bounds[part] = np.sort(np.concatenate([bounds[part], least], axis=1), axis=1)[:, :k]
+            lower = d - r - SLACK
+            i, j = np.nonzero((lower <= bounds[part, -1:]) & np.isfinite(d))
+            for out, x in zip(found, (start + i, ids[j], np.maximum(lower[i, j], 0), upper[i, j])):
+                out.append(x)
+    i, c_ids, lo, up = (np.concatenate(x) for x in found)
+    kept = lo <= bounds[i, -1]
+    return pa.table({"q": q_ids[i[kept]], "c": c_ids[kept], "lower": lo[kept], "upper": up[kept]})
 
 
 def _distances(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -113,11 +122,13 @@ def top_k(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str
     packed = "block int, ids binary, cells binary, radius binary, vectors binary"
     placed = clean.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     file = checkpointed(placed.groupBy("block").applyInArrow(lambda t: _approximate(t, low, step), packed))
-    # Queries travel as vectors, what they are held against as approximations.
-    queries = file.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), "vectors")
-    against = file.select("block", "ids", "cells", "radius", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))).alias("qb"))
-    pairs = queries.join(against.hint("shuffle_hash"), "qb")
-    bounds = pairs.groupBy("qb", "block").applyInArrow(lambda t: _scan(t, low, step, k), "q long, c long, lower double, upper double")
+    # A block of queries travels as vectors, once for each part of the file; what it is held against as approximations.
+    parts = -(-blocks // PART)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    nothing = F.lit(None).cast("binary")
+    queries = file.select(F.col("block").alias("qb"), each(parts).alias("part"), "block", "ids", nothing.alias("cells"), nothing.alias("radius"), "vectors")
+    against = file.select(each(blocks).alias("qb"), F.expr(f"block div {PART}").cast("int").alias("part"), "block", "ids", "cells", "radius", nothing.alias("vectors"))
+    bounds = queries.unionByName(against).groupBy("qb", "part").applyInArrow(lambda t: _scan(t, low, step, k), "q long, c long, lower double, upper double")
     by_upper = W.partitionBy("q").orderBy("upper", "c")
     limit = F.max(F.when(F.col("place") <= k, F.col("upper"))).over(W.partitionBy("q"))
     kept = bounds.withColumn("place", F.row_number().over(by_upper)).withColumn("limit", limit).where("lower <= limit")

@@ -136,6 +136,7 @@ def brute_nearest(vectors, k):
 
 def test_search(spark, monkeypatch):
     monkeypatch.setattr(vector_file, "BLOCK", 64)
+    monkeypatch.setattr(vector_file, "PART", 2)
     rng = np.random.default_rng(5)
     vectors = {i: rng.normal(size=8).astype(np.float32).tolist() for i in range(300)}
     vectors[7] = vectors[8] = vectors[9]  # ties
