@@ -468,7 +468,7 @@ def a23(spark, d):
     return _runs(spark).select("load_order", label.alias("label"), text.publisher("student").alias("publisher"), (F.count("*").over(W.partitionBy(label)) > 1).alias("collides"))
 
 
-@query("a25_extents", f"WITH {_RUNSQL} SELECT teacher, round(min(mean), 8) AS low, round(max(mean), 8) AS high, max(mean) / min(mean) > 25 AS wide FROM runs WHERE mean > 0 GROUP BY teacher")
+@query("a25_extents", f"WITH {_RUNSQL} SELECT teacher, round(min(mean)::DOUBLE, 8) AS low, round(max(mean)::DOUBLE, 8) AS high, max(mean) / min(mean) > 25 AS wide FROM runs WHERE mean > 0 GROUP BY teacher")
 def a25(spark, d):
     g = _runs(spark).where("mean > 0").groupBy("teacher")
     return g.agg(r8(F.min("mean")).alias("low"), r8(F.max("mean")).alias("high"), (F.max("mean") / F.min("mean") > 25).alias("wide"))
