@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
 
 N, THRESHOLD = 5, 0.45
-#: n-grams of a fragment where pairs meet and where overlaps are counted, candidate pairs of a block.
-MEETING, FRAGMENT, BLOCK = 250_000, 2_000_000, 250_000
+#: Meetings of n-grams in a fragment of prefixes, n-grams in a fragment where overlaps are counted, candidate pairs of a block.
+MEETING, FRAGMENT, BLOCK = 2_000_000, 2_000_000, 2_000_000
 
 #: bucket and chunk name the packed arrays; of a chunk's own row (kind 1): ids, sizes and set signatures.
 _PACKED = "bucket int, chunk long, kind int, docs binary, low binary, high binary"
@@ -193,17 +193,18 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
 
-def _pivots(members: DataFrame, fragment: int) -> np.ndarray:
-    """Cuts of the global order into ranges of about `fragment` n-grams: whole cells of the leading 16 bits, or even parts of a large one, since hashes are spread evenly within."""
+def _pivots(members: DataFrame, fragment: int, meetings: bool = False) -> np.ndarray:
+    """Cuts of the global order into ranges of about `fragment` n-grams (or meetings: each counts as often as documents have it): whole cells of the leading 16 bits, or even parts of a large one, since hashes are spread evenly within."""
     cells = sorted(map(tuple, members.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()))
     cuts, filled = [], 0
     for cell, n in cells:
+        n = round(n * 2 ** ((cell >> 8) / 8)) if meetings else n
         parts = -(-n // fragment)
-        if filled and (filled + n > fragment):
+        if filled and filled + n > fragment:
             cuts.append(cell << 48)
             filled = 0
         cuts += [(cell << 48) + (i << 48) // parts for i in range(1, parts)]
-        filled = n if parts == 1 and not filled else filled + n if parts == 1 else n // parts
+        filled = filled + n if parts == 1 else n // parts
     return np.array(cuts, dtype=np.uint64)
 
 
@@ -336,7 +337,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     copies = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     reps = members.join(small_or_shuffled(heads.select("row")), "row", "left_semi").select("doc_id", "size", "grams")
 
-    meeting = _pivots(reps, MEETING)
+    meeting = _pivots(reps, MEETING, meetings=True)
     prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=meeting), "fragment int, grams binary, ids binary, counts binary, info binary")
     candidates = checkpointed(prefixes.groupBy("fragment").applyInArrow(lambda t: _candidates(t, threshold=threshold), "a long, b long").distinct())
     blocks = max(1, -(-candidates.count() // BLOCK))
