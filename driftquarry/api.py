@@ -137,3 +137,48 @@ def score_students(spark: SparkSession, root: str, key: str, students: DataFrame
     """Statistics of any number of students (columns that name them, seq_id, pos, logits) against an entry."""
     teacher = files.read_entry(spark, root, key)
     return aggregate.summarize(score.score_student(teacher, students, protocol.score_window), by)
+
+
+def identity(teacher: str) -> str:
+    """What names a teacher in keys: the resolved path if it exists here, else the id as given."""
+    path = Path(teacher).expanduser()
+    return str(path.resolve()) if path.exists() else teacher
+
+
+def room_for(budget: int, protocol: Protocol) -> int:
+    """The budget that older entries get, so that a new one fits: at least one byte, as a new entry is built even where nothing else may stay."""
+    need = protocol.num_samples * protocol.max_seq_len * (6 * protocol.top_k + 9)
+    return max(budget - need, 1)
+
+
+def record_path(spark: SparkSession, root: str, teacher: str, student: str, protocol: Protocol, mode: str | None = None) -> Path:
+    """<root>/<teacher>/<student>.<digest>.json: runs of other protocols get other files."""
+    row = spark.createDataFrame([(teacher, student, protocol.corpus, protocol.num_samples, protocol.max_seq_len, protocol.seed, protocol.top_k, list(protocol.score_window), mode, identity(teacher))], "t string, s string, c string, n int, l int, seed long, k int, w array<int>, m string, i string")
+    folder, name, digest = row.select(text.teacher_slug("t"), text.student_slug("s"), text.run_digest("c", "n", "l", "seed", "k", "w", "m", "i")).first()
+    return Path(root) / folder / f"{name}.{digest}.json"
+
+
+def build_record(facts: DataFrame, protocol: Protocol, teacher: dict, student: dict, tokenizer: dict, elapsed: float, now: datetime | None = None) -> dict:
+    """One student's record from its fact table, checked against the locked schema before anybody writes it."""
+    from driftquarry.operators import records
+
+    stats = aggregate.summarize(facts, ()).first().asDict()
+    buckets = aggregate.by_position(facts, aggregate.Buckets(*protocol.score_window)).orderBy("bucket").collect()
+    bins = aggregate.histogram(facts).orderBy("bin").collect()
+    scored = stats["tokens_scored"] > 0
+    reason = facts.sparkSession.createDataFrame([(stats["top1"], stats["mean"], stats["tokens_scored"])], "top1 double, mean double, tokens_scored long").select(aggregate.implausible()).first()[0]
+    out = {
+        "schema_version": records.SCHEMA_VERSION, "teacher": teacher, "student": student, "tokenizer": tokenizer,
+        "calibration": {"corpus": protocol.corpus, "num_samples": protocol.num_samples, "max_seq_len": protocol.max_seq_len, "seed": protocol.seed, "top_k": protocol.top_k, "score_window": list(protocol.score_window), "long_context": protocol.long_context},
+        "kld": {k: stats[k] for k in ("mean", "se", "se_method", "floor_mean", "p50", "p95", "p99", "p999", "max")},
+        "delta_p": {"mean": stats["delta_p_mean"], "se": stats["delta_p_se"], "rms": stats["delta_p_rms"]},
+        "agreement": {"top1": stats["top1"], "top5": stats["top5"]},
+        "tokens_scored": stats["tokens_scored"], "tokens_dropped_nonfinite": stats["tokens_dropped_nonfinite"], "elapsed_seconds": elapsed, "scorer_version": "1", "timestamp": (now or datetime.now(UTC)).isoformat(timespec="seconds"),
+        "by_position": [{"range": b["range"], "tokens": b["tokens"]} | ({"mean_kld": b["mean_kld"], "p95_kld": b["p95_kld"], "top1_agreement": b["top1_agreement"]} if b["tokens"] else {}) for b in buckets] if scored else [],
+        "kld_histogram": {"bin_edges": aggregate.EDGES, "counts": [b["n"] for b in bins]} if scored else None,
+        "plausibility": {"implausible": reason is not None, "reason": reason},
+    }
+    problem = facts.sparkSession.createDataFrame([(json.dumps(out),)], "value string").select(records.reject_reason()).first()[0]
+    if problem:
+        raise RecordSchema(problem)
+    return out

@@ -1,10 +1,11 @@
-"""compare, plot, cache list|gc|clear, floor-sweep. Exit codes: 0 done, 1 an error the user can act on, 2 no subcommand, 130 interrupted."""
+"""score, compare, plot, cache list|gc|clear, floor-sweep, self-test. Exit codes: 0 done, 1 an error the user can act on, 2 no subcommand, 130 interrupted."""
 
 from __future__ import annotations
 
 import argparse
 import shutil
 import sys
+import time
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftquarry.api import DriftError, Protocol, entry_lock, manifest
-from driftquarry.functions import text
+from driftquarry.api import DriftError, Protocol, build_record, ensure_teacher_cache, entry_lock, identity, manifest, record_path
+from driftquarry.functions import kernel, text
 from driftquarry.operators import cache_admin, records, render, sweep
+from driftquarry.operators.score import score_student
 from driftquarry.sources import files
 
 
@@ -54,6 +56,46 @@ def _ranked(spark: SparkSession, patterns: list[str]) -> DataFrame:
     return records.rank_records(valid)
 
 
+def _doubles(df: DataFrame) -> DataFrame:
+    return df.withColumn("logits", F.col("logits").cast(T.ArrayType(T.DoubleType())))
+
+
+def _score(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Score one student's stored logits, write its record, and say how it went."""
+    began = time.time()
+    protocol = Protocol(args.corpus, args.num_samples, args.max_seq_len, args.seed, args.top_k, Protocol.window(args.window) if args.window else None)
+    teacher = _doubles(spark.read.parquet(args.teacher_logits))
+    key, found, status = ensure_teacher_cache(teacher, protocol, args.cache, identity(args.teacher), rebuild=args.rebuild)
+    protocol = protocol.clamped(found["vocab_size"])
+    students = kernel.align_vocab(_doubles(spark.read.parquet(args.student_logits)), found["vocab_size"]).select("seq_id", "pos", "logits", "pad_mass")
+    worst = students.agg(F.max("pad_mass")).first()[0] or 0.0
+    if not worst <= 1e-4:
+        print(f"warning: padded ids hold up to {worst:.2%} of the student's probability", file=sys.stderr)
+    facts = score_student(files.read_entry(spark, args.cache, key), students.drop("pad_mass"), protocol.score_window).cache()
+    tokenizer = {"mode": "given", "identical": True, "encoding_parity": True, "forced": False, "diffs": []}
+    student = {"path": args.student, "format": "mlx", "size_bytes": None, "effective_bpw": None, "n_params": None, "quantization": {"kind": "none"}}
+    made = build_record(facts, protocol, {"path": args.teacher}, student, tokenizer, round(time.time() - began, 3))
+    path = record_path(spark, args.out_dir, args.teacher, args.student, protocol, "given")
+    files.write_json(path, made)
+    mean = "n/a" if made["kld"]["mean"] is None else f"{made['kld']['mean']:.4f}"
+    return f"{status} {key}: {made['tokens_scored']} tokens, mean KLD {mean}, {path}\n"
+
+
+def _self_test(spark: SparkSession) -> str:
+    """Checks with known answers: even distributions diverge by nothing, a student equal to its teacher by the floor, and a larger head never reconstructs worse."""
+    rows = [(0, j, j, True, [float((7 * j + 3 * i) % 13) / 2 for i in range(32)]) for j in range(16)]
+    shape = "seq_id int, pos int, token_id int, attn boolean, logits array<double>"
+    logits = spark.createDataFrame(rows, shape)
+    even = spark.createDataFrame([(0, 0, 0, True, [0.0] * 32)], shape)
+    errors = [r["mean_floor"] for r in sweep.floor_sweep(logits, [4, 8, 16, 24], 32).orderBy("k").collect()]
+    same = score_student(kernel.teacher_topk(logits, 8), logits.select("seq_id", "pos", "logits")).select(F.max(F.abs(F.col("kld") - F.col("floor_kld")))).first()[0]
+    checks = {"even": abs(kernel.teacher_topk(even, 8, rounded=False).first()["floor_kld"]) < 1e-9, "same": same < 1e-9, "monotone": all(a >= b - 1e-3 for a, b in zip(errors, errors[1:]))}
+    failed = [k for k, ok in checks.items() if not ok]
+    if failed:
+        raise DriftError(f"self-test failed: {', '.join(failed)}")
+    return "".join(f"ok {k}\n" for k in checks)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="driftquarry")
     sub = parser.add_subparsers(dest="command")
@@ -75,6 +117,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("logits")
     p.add_argument("--k", required=True)
     p.add_argument("--window")
+    p = sub.add_parser("score")
+    for name in ("teacher_logits", "student_logits", "teacher", "student", "corpus", "cache", "out_dir"):
+        p.add_argument(name)
+    for name in ("num-samples", "max-seq-len", "top-k"):
+        p.add_argument(f"--{name}", type=int, required=True)
+    p.add_argument("--seed", type=int, default=123)
+    p.add_argument("--window")
+    p.add_argument("--rebuild", action="store_true")
+    sub.add_parser("self-test")
     args = parser.parse_args(argv)
     if not args.command:
         parser.print_usage()
@@ -107,9 +158,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     raise DriftError("clearing everything needs --yes")
                 _drop(args.root, [r[0] for r in entries.where("NOT locked").select("key").collect()])
                 out = ""
+        elif args.command == "score":
+            out = _score(spark, args)
+        elif args.command == "self-test":
+            out = _self_test(spark)
         else:
-            logits = spark.read.parquet(args.logits)
-            logits = logits.withColumn("logits", F.col("logits").cast(T.ArrayType(T.DoubleType())))
+            logits = _doubles(spark.read.parquet(args.logits))
             vocab = logits.select(F.size("logits")).first()[0]
             table = sweep.floor_sweep(logits, [int(k) for k in args.k.split(",")], vocab, Protocol.window(args.window) if args.window else None)
             out = "".join(f"{r['k']:>8,}  {r['mean_floor']:.6f}  {r['max_floor']:.6f}{'  <- lowest' if r['is_lowest'] else ''}\n" for r in table.orderBy("k").collect())

@@ -292,3 +292,34 @@ def test_floor_sweep_command(spark, tmp_path, capsys):
     circular(spark).write.parquet(str(tmp_path / "l"))
     assert cli.main(["floor-sweep", str(tmp_path / "l"), "--k", "4,8,64", "--window", "4:8"], spark) == 0
     assert capsys.readouterr().out.count("<- lowest") == 1
+
+
+def test_score_command(spark, tmp_path, capsys):
+    circular(spark).write.parquet(str(tmp_path / "t"))
+    circular(spark, 1).write.parquet(str(tmp_path / "s"))
+    args = ["score", str(tmp_path / "t"), str(tmp_path / "s"), "org/T", "/m/acme__T-4bit", "c", str(tmp_path / "cache"), str(tmp_path / "runs"), "--num-samples", "5", "--max-seq-len", "8", "--top-k", str(K)]
+    assert cli.main(args, spark) == 0 and "MISS" in capsys.readouterr().out
+    assert cli.main(args, spark) == 0 and "HIT" in capsys.readouterr().out
+    found = list((tmp_path / "runs").rglob("*.json"))
+    assert len(found) == 1 and found[0].parent.name == "org__t" and found[0].name.startswith("acme__T-4bit.")
+    made = json.loads(found[0].read_text())
+    assert made["tokens_scored"] == 20 and made["agreement"]["top1"] == 0.0 and sum(made["kld_histogram"]["counts"]) == 20
+    assert cli.main(["compare", str(found[0])], spark) == 0 and "org/T" in capsys.readouterr().out
+
+
+def test_record_of_nothing(spark):
+    student = {"path": "s", "format": "gguf", "size_bytes": 1, "effective_bpw": 1.0, "n_params": 1, "quantization": {"kind": "gguf"}}
+    tokenizer = dict.fromkeys(("mode", "identical", "encoding_parity", "forced", "diffs"))
+    made = api.build_record(facts(spark, [float("nan")] * 2), api.Protocol("c", 1, 8), {"path": "t"}, student, tokenizer, 1.0)
+    assert made["tokens_scored"] == 0 and made["by_position"] == [] and made["kld_histogram"] is None and made["plausibility"]["implausible"]
+    with pytest.raises(api.RecordSchema, match="format"):
+        api.build_record(facts(spark, [0.1]), api.Protocol("c", 1, 8), {"path": "t"}, student | {"format": "zip"}, tokenizer, 1.0)
+
+
+def test_identity_and_room(tmp_path):
+    assert api.identity("org/none") == "org/none" and api.identity(str(tmp_path / ".")) == str(tmp_path.resolve())
+    assert api.room_for(10**9, api.Protocol("c", 1, 8, top_k=8)) == 10**9 - 8 * 57 and api.room_for(1, api.Protocol("c")) == 1
+
+
+def test_self_test(spark, capsys):
+    assert cli.main(["self-test"], spark) == 0 and capsys.readouterr().out.count("ok") == 3
