@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are taken in slices of about this many bytes, whatever the batch: it bounds a worker's memory.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Rows that a broadcast side may have; beyond it, operators use a shuffled join instead.
 BROADCAST_ROWS = 2_000_000
 
@@ -30,6 +30,10 @@ def bound_batches(spark: SparkSession) -> None:
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH", ""), root]))
+    # Workers live on between tasks: large arrays go back to the system when they are freed.
+    known.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    known.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    known.setdefault("MALLOC_ARENA_MAX", "2")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
 
