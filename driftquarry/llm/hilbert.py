@@ -16,8 +16,6 @@ columns are ignored by `assign` and carried by `write_shards`. An empty table gi
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,8 +115,8 @@ def assign(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, weight: str
 def write_shards(df: DataFrame, path: str, dimensions: tuple[str, ...] = DIMENSIONS, weight: str = "n_chars", target: int = TARGET, id_col: str = "doc_id", bits: int = BITS) -> None:
     """Write all columns of `df` in curve order, each shard a run of one file: file statistics then prune on every dimension."""
     name = other_names(df, "hilbert_", "shard_")
-    placed = checkpointed(assign(df, dimensions, weight, target, id_col, bits).distinct())
-    placed = placed.select(F.col(id_col), F.col("hilbert").alias(name["hilbert_"]), F.col("shard").alias(name["shard_"]))
-    joined = df.join(small_or_shuffled(placed), reduce(lambda a, b: a & b, [df[id_col].eqNullSafe(placed[id_col])]), "left").drop(placed[id_col])
+    placed = assign(df, dimensions, weight, target, id_col, bits).groupBy(id_col).agg(F.min(F.struct("hilbert", "shard")).alias("p"))  # rows of one id stay together
+    placed = checkpointed(placed.select(F.col(id_col), F.col("p.hilbert").alias(name["hilbert_"]), F.col("p.shard").alias(name["shard_"])))
+    joined = df.join(small_or_shuffled(placed), df[id_col].eqNullSafe(placed[id_col]), "left").drop(placed[id_col])
     n = (placed.agg(F.max(name["shard_"])).first()[0] or 0) + 1
     joined.repartitionByRange(n, name["shard_"]).sortWithinPartitions(name["shard_"], name["hilbert_"], id_col).select(*[F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").parquet(path)
