@@ -56,9 +56,13 @@ def words(t: Column | str) -> Column:
 def with_offsets(rows: DataFrame, count: str, order: str = "row_idx", parts: int = 64) -> DataFrame:
     """Adds `before`, the running sum of `count` over all earlier rows, without sorting all rows in one task.
 
-    Rows are ranged into parts; sums of parts (a handful) are put in order first, then each part adds its own.
+    Rows fall into parts between percentiles of the order; sums of parts (a handful) are put in order first, then
+    each part adds its own. The percentiles are drawn once, so both passes see the same parts.
     """
-    ranged = rows.repartitionByRange(parts, order).withColumn("part_", F.spark_partition_id())
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    ranged = rows.withColumn("part_", at)
     sums = ranged.groupBy("part_").agg(F.sum(count).alias("sum_"))
     base = sums.select("part_", (F.sum("sum_").over(W.orderBy("part_")) - F.col("sum_")).alias("base_"))
     own = F.coalesce(F.sum(count).over(W.partitionBy("part_").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
