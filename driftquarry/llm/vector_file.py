@@ -99,7 +99,9 @@ def _distances(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def top_k(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, rank, neighbor_id, distance): the k nearest other vectors of each vector, from rank 1."""
     bound_batches(table.sparkSession)
-    v = F.col(f"`{vector_col}`").cast("array<double>")
+    v = F.col(f"`{vector_col}`")
+    if dict(table.dtypes)[vector_col] != "array<float>":  # single precision travels as it is
+        v = v.cast("array<double>")
     clean = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))")
     clean = checkpointed(clean.groupBy("id").agg(F.min("v").alias("v")))
     n, dim = clean.agg(F.count("*"), F.max(F.size("v"))).first()
