@@ -69,9 +69,19 @@ def with_offsets(rows: DataFrame, count: str, order: str = "row_idx", parts: int
     return ranged.withColumn("own_", own).join(F.broadcast(base), "part_").withColumn("before", F.col("base_") + F.col("own_")).drop("part_", "own_", "base_")
 
 
-def head_rows(rows: DataFrame, count: str, threshold: int, order: str = "row_idx") -> DataFrame:
-    """Rows in order until `threshold` is reached; the row that reaches it is the last."""
-    return with_offsets(rows, count, order).where(F.col("before") < threshold)
+def head_rows(rows: DataFrame, tokenize: Callable[[str], Column], threshold: int, order: str = "row_idx") -> DataFrame:
+    """Rows in order with `tokens`, `n` and `before`, until `threshold` tokens are reached; the row that reaches it is the last.
+
+    Only a head of the corpus is tokenised: the first rows in order (a distributed top-n), four times as many as long
+    as they don't hold enough.
+    """
+    take = 256
+    while True:
+        head = rows.orderBy(order).limit(take).withColumn("tokens", tokenize("text")).withColumn("n", F.size("tokens"))
+        got, total = head.agg(F.count("*"), F.sum("n")).first()
+        if got < take or (total or 0) >= threshold:
+            return with_offsets(head, "n", order).where(F.col("before") < threshold)
+        take *= 4
 
 
 def chunks(tokens: DataFrame, length: int) -> DataFrame:
@@ -97,8 +107,7 @@ def sampled(pieces: DataFrame, total: int, take: int, seed: int) -> DataFrame:
 
 def calibration_chunks(rows: DataFrame, tokenize: Callable[[str], Column], samples: int, length: int, seed: int) -> DataFrame:
     """(seq_id, tokens): from texts in order to the sample. Only as many rows are used as twice the sample needs."""
-    counted = rows.withColumn("tokens", tokenize("text")).withColumn("n", F.size("tokens"))
-    head = head_rows(counted, "n", 2 * (samples * length + length))
+    head = head_rows(rows, tokenize, 2 * (samples * length + length))
     total = (head.agg(F.sum("n")).first()[0] or 0) // length
     return sampled(chunks(head, length), total, samples, seed)
 
