@@ -13,8 +13,9 @@ partial counts are summed per pair. The steps:
    prefixes, so passages that very many documents share meet nowhere unless they fill a document.
 5. `_partial`: fragments count the overlaps of candidate pairs; the sums decide.
 
-Nothing is capped. The number of result rows of a group of k mutually similar, distinct documents is
-k(k-1)/2; exact copies add one row each, since every copy pairs with its representative at 1.0.
+Nothing is capped. `all_pairs` puts every document of a set in its representative's place, so a group of k
+mutually similar documents, copies or not, gives k(k-1)/2 rows. `ngram_join` is the compact form for who needs
+only the groups: pairs of distinct sets, and one row for each further copy, with its representative at 1.0.
 
 Defined cases. Words are split at white space, lower-cased and freed of all but letters and digits. A text
 of fewer than n words has one n-gram of all its words; null texts and texts without words have none and
@@ -36,11 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
+from .common import BROADCAST_ROWS, binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
 
 N, THRESHOLD = 5, 0.45
 #: Meetings of n-grams in a fragment of prefixes, n-grams in a fragment where overlaps are counted, candidate pairs of a block.
 MEETING, FRAGMENT, BLOCK = 2_000_000, 2_000_000, 2_000_000
+#: Documents of one set that stand in a row when pairs of sets become pairs of documents.
+COPIES = 1000
 
 #: bucket and chunk name the packed arrays; of a chunk's own row (kind 1): ids, sizes and set signatures.
 _PACKED = "bucket int, chunk long, kind int, docs binary, low binary, high binary"
@@ -324,8 +327,8 @@ def _partial(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(v) for v in (ids[x], ids[y], common[kept], sizes[x], sizes[y])], names=names)
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of distinct n-gram sets with a Jaccard index of `threshold` or more, by their representatives, and every further document of a set with its representative."""
+def _near_sets(docs: DataFrame, n: int, threshold: float, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that may have a partner (doc_id, sig, size), the first of each set of these (sig, size, rep, row), and pairs (a, b, jaccard) of distinct sets, named by their first's `key`: doc_id, or row, which is a set's own where an id has several texts."""
     spark = docs.sparkSession
     bound_batches(spark)
     buckets = n_buckets(spark)
@@ -333,9 +336,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     repeated = packed.groupBy("bucket").applyInArrow(_frequencies, _PACKED)
     members = checkpointed(repeated.groupBy("chunk").applyInArrow(lambda t: _members(t, threshold=threshold), _MEMBERS))
     heads = checkpointed(members.groupBy("sig", "size").agg(F.min(F.struct("doc_id", "row")).alias("head")).select("sig", "size", F.col("head.doc_id").alias("rep"), F.col("head.row").alias("row")))
-    copies = members.select("doc_id", "sig", "size").join(heads.drop("row"), ["sig", "size"]).where("doc_id <> rep").distinct()
-    copies = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = members.join(small_or_shuffled(heads.select("row")), "row", "left_semi").select("doc_id", "size", "grams")
+    reps = members.join(small_or_shuffled(heads.select("row")), "row", "left_semi").select(F.col(key).alias("doc_id"), "size", "grams")
 
     meeting = _pivots(reps, MEETING, meetings=True)
     prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=meeting), "fragment int, grams binary, ids binary, counts binary, info binary")
@@ -348,8 +349,39 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     pairs = candidates.mapInArrow(lambda it: _pair_blocks(it, fragments=len(pivots) + 1, blocks=blocks), shape)
     parts = segments.unionByName(pairs).groupBy("fragment", "block").applyInArrow(_partial, "a long, b long, common long, size_a long, size_b long")
     sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
-    near = sums.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
-    return near.where(F.col("jaccard") >= threshold).unionByName(copies).withColumn("jaccard", F.round("jaccard", 6))
+    near = sums.select("a", "b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
+    return members.select("doc_id", "sig", "size"), heads, near.where(F.col("jaccard") >= threshold)
+
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b, compact: every pair of distinct n-gram sets with a Jaccard index of `threshold` or more, by their representatives, and every further document of a set with its representative."""
+    members, heads, near = _near_sets(docs, n, threshold, "doc_id")
+    copies = members.join(heads.drop("row"), ["sig", "size"]).where("doc_id <> rep").distinct()
+    copies = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard").unionByName(copies).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of documents whose n-gram sets have a Jaccard index of `threshold` or more; of an id with several texts, the best."""
+    from pyspark.sql import Window as W
+
+    members, heads, near = _near_sets(docs, n, threshold, "row")
+    sets = checkpointed(members.join(heads.drop("rep"), ["sig", "size"]).select("row", "doc_id").distinct())
+    place = F.floor((F.row_number().over(W.partitionBy("row").orderBy("doc_id")) - 1) / COPIES)
+    blocks = checkpointed(sets.withColumn("block", place).groupBy("row", "block").agg(F.collect_list("doc_id").alias("ids")))
+    shared = blocks.where((F.size("ids") > 1) | (F.col("block") > 0)).select("row").distinct()
+    both = near.unionByName(shared.select(F.col("row").alias("a"), F.col("row").alias("b"), F.lit(1.0).alias("jaccard")))
+    side_table = F.broadcast(blocks) if sets.count() <= BROADCAST_ROWS else blocks
+    for side in "ab":
+        both = both.join(side_table.select(F.col("row").alias(side), F.col("block").alias(f"block_{side}"), F.col("ids").alias(f"ids_{side}")), side)
+    both = both.where("a <> b OR block_a <= block_b")
+    # A row now stands for at most COPIES^2 pairs: spread before they are listed, so that no task has a large group to itself.
+    both = both.repartition(n_buckets(docs.sparkSession), "a", "b", "block_a", "block_b").select("a", "b", "block_a", "block_b", "jaccard", "ids_b", F.explode("ids_a").alias("x"))
+    both = both.select("a", "b", "block_a", "block_b", "jaccard", "x", F.explode("ids_b").alias("y")).where("x <> y AND (a <> b OR block_a <> block_b OR x < y)")
+    pairs = both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    if sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return pairs
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
