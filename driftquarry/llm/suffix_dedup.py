@@ -14,9 +14,11 @@ the suffix array:
    shares can't be in a repeat.
 2. Blocks. Only documents that hold a shared rank go on. Their suffixes are split into buckets by the leading
    bits of the `min_words`-word prefix's fingerprint (a super-character of the order in which suffixes are
-   sorted: equal prefixes are neighbours) and each bucket is sorted by (prefix, id, place). Ties are as long as
-   the passages, but the fingerprint decides them in one comparison, so no text is needed in a bucket.
-3. Neighbours with an equal prefix are repeats; the first of a run is the source.
+   sorted: equal prefixes are neighbours) and each bucket is sorted by (prefix, id, place). All 64 bits are kept.
+3. Neighbours with an equal fingerprint are repeats to be confirmed; the first of them is the source.
+4. Words. Neighbouring repeats with neighbouring sources are one passage, whose words are compared with the
+   source's. Where they differ (fingerprints collided), all windows of the fingerprints concerned are grouped
+   by their words instead. So what is reported, and cut, has been compared word by word.
 
 Positions travel as packed arrays by bucket and chunk, not as rows. Nothing is capped, and copies of any
 number cost what they weigh: a run of k equal suffixes gives k - 1 places.
@@ -37,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, bound_batches, checkpointed, n_buckets, other_names, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
+from .common import BROADCAST_ROWS, binaries, bound_batches, checkpointed, n_buckets, other_names, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
 from .ngram_join import _joined, _steps
 
 MIN_WORDS = 50
@@ -51,7 +54,11 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _PACKED = "bucket int, chunk long, kind int, docs binary, low binary, high binary, place binary, ids binary"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample: bool) -> Iterator[pa.RecordBatch]:
+def _leading(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample: bool, bits: int = 64) -> Iterator[pa.RecordBatch]:
     """Fingerprints of the `length`-word prefixes of suffixes, by bucket: of sampled ones without their places, or of all with ids and places."""
     chunk = TaskContext.get().partitionId() << 32
     in_cover = np.zeros(PERIOD, bool)
@@ -65,7 +72,7 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample
         if sample:
             kept = in_cover[place % PERIOD]
             start, doc, place = start[kept], doc[kept], place[kept]
-        h = h[start] if len(start) else np.zeros(0, np.uint64)
+        h = _leading(h[start], bits) if len(start) else np.zeros(0, np.uint64)
         order, names, bounds = split_by(((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), buckets)
         h, doc, place = h[order], doc[order], place[order]
         n, ids = len(names) + 1, np.asarray(batch.column("doc_id"), dtype=np.int64)
@@ -84,7 +91,7 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample
                 pa.array(np.append(np.zeros(n - 1, np.int32), np.int32(1)), pa.int32()),
                 pa.concat_arrays([binaries(_steps(doc, bounds[:-1]), bounds), own]),
                 pa.concat_arrays([binaries(h.astype(np.uint32), bounds), empty]),
-                pa.concat_arrays([binaries((h >> np.uint64(32)).astype(np.uint8), bounds), empty]),
+                pa.concat_arrays([binaries((h >> np.uint64(32)).astype(np.uint8 if sample else np.uint32), bounds), empty]),
                 pa.concat_arrays([none if sample else binaries(place.astype(np.uint32), bounds), empty]),
                 pa.concat_arrays([present, empty]),
             ],
@@ -92,10 +99,10 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample
         )
 
 
-def _open(packed: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open(packed: pa.Table, high_type: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document number in its chunk, row, lengths) of all entries of a bucket."""
     low, lengths = _joined(packed.column("low"), np.uint32)
-    high, _ = _joined(packed.column("high"), np.uint8)
+    high, _ = _joined(packed.column("high"), high_type)
     steps, _ = _joined(packed.column("docs"), np.uint32)
     docs = np.cumsum(steps.astype(np.int64))
     if len(docs):
@@ -109,7 +116,7 @@ def _shared_ranks(table: pa.Table) -> pa.Table:
     own, packed = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
     out = [pa.table({"chunk": own.column("chunk"), "kind": own.column("kind"), "docs": own.column("docs")})]
     if packed.num_rows:
-        key, docs, row, lengths = _open(packed)
+        key, docs, row, lengths = _open(packed, np.uint8)
         order = np.argsort(key)
         ordered = key[order]
         tied = np.zeros(len(key), bool)
@@ -130,12 +137,12 @@ def _flagged(table: pa.Table) -> pa.Table:
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
-    """Of one bucket of suffixes: by chunk, the places of all but the first of each run of equal prefixes, with the source's id."""
+    """Of one bucket of suffixes: by chunk, the places of all but the first of each run of equal prefixes, with the source's id and place."""
     kind = np.asarray(table.column("kind"))
     own, packed = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
-    out = [pa.table({"chunk": own.column("chunk"), "kind": own.column("kind"), "docs": own.column("docs"), "place": own.column("place"), "source": own.column("ids")})]
+    out = [pa.table({"chunk": own.column("chunk"), "kind": own.column("kind"), "docs": own.column("docs"), "place": own.column("place"), "source": own.column("ids"), "source_place": own.column("place")})]
     if packed.num_rows:
-        key, docs, row, lengths = _open(packed)
+        key, docs, row, lengths = _open(packed, np.uint32)
         place, _ = _joined(packed.column("place"), np.uint32)
         ids, _ = _joined(packed.column("ids"), np.int64)
         new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (row[1:] != row[:-1])]) if len(docs) else np.zeros(0, bool)
@@ -149,37 +156,100 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
         first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
         head = order[first][np.cumsum(first) - 1] if len(k) else order
         later = (doc_id[order] != doc_id[head]) | (place[order] != place[head])
-        at, source = order[later], doc_id[head[later]]
+        at, source, source_place = order[later], doc_id[head[later]], place[head[later]]
         back = np.argsort(at)
-        at, source = at[back], source[back]
+        at, source, source_place = at[back], source[back], source_place[back]
         bounds = np.searchsorted(row[at], np.arange(len(lengths) + 1))
         begin = bounds[:-1][np.diff(bounds) > 0]
-        out.append(pa.table({"chunk": packed.column("chunk"), "kind": packed.column("kind"), "docs": binaries(_steps(docs[at], begin), bounds), "place": binaries(place[at], bounds), "source": binaries(source, bounds)}).cast(out[0].schema))
+        out.append(pa.table({"chunk": packed.column("chunk"), "kind": packed.column("kind"), "docs": binaries(_steps(docs[at], begin), bounds), "place": binaries(place[at], bounds), "source": binaries(source, bounds), "source_place": binaries(source_place, bounds)}).cast(out[0].schema))
     return pa.concat_tables(out)
 
 
-def _spans(table: pa.Table, length: int) -> pa.Table:
-    """Of one chunk: repeated windows merged into spans of words."""
+def _passages(table: pa.Table, length: int) -> pa.Table:
+    """Of one chunk: repeated windows that follow each other, as their sources do, as one passage of words."""
     kind = np.asarray(table.column("kind"))
     ids = np.frombuffer(table.filter(pa.array(kind == 1)).column("docs")[0].as_buffer(), np.int64)
     packed = table.filter(pa.array(kind == 0))
     steps, lengths = _joined(packed.column("docs"), np.uint32)
-    place = _joined(packed.column("place"), np.uint32)[0].astype(np.int64)
+    place, at = (_joined(packed.column(c), np.uint32)[0].astype(np.int64) for c in ("place", "source_place"))
     source, _ = _joined(packed.column("source"), np.int64)
     docs = np.cumsum(steps.astype(np.int64))
     if len(docs):
         begin = (np.cumsum(lengths) - lengths)[lengths > 0]
         docs -= np.repeat((docs - steps)[begin], lengths[lengths > 0])
     order = np.lexsort((place, docs))
-    docs, place, source = docs[order], place[order], source[order]
+    docs, place, source, at = docs[order], place[order], source[order], at[order]
     new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (place[1:] > place[:-1] + length)
+    new[1:] = (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1)
     last = np.append(new[1:], True) if len(docs) else new
-    return pa.table({"doc_id": pa.array(ids[docs[new]]), "begin_word": pa.array(place[new].astype(np.int32)), "end_word": pa.array((place[last] + length).astype(np.int32)), "source_doc_id": pa.array(source[new])})
+    return pa.table({"doc_id": pa.array(ids[docs[new]]), "b": pa.array(place[new].astype(np.int32)), "e": pa.array((place[last] + length).astype(np.int32)), "source": pa.array(source[new]), "at": pa.array(at[new].astype(np.int32))})
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, begin_word, end_word, source_doc_id): the spans of words of each document that repeat earlier passages of `min_words` words or more, and the document where the first window of the span stands first."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that are asked for of each text; a text that is too short for them has none."""
+    for batch in text_slices(batches, "text"):
+        names, words = [], []
+        for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
+            own = pc.utf8_split_whitespace(pa.array([text or ""]))[0].as_py()
+            own = [w for w in own if w]
+            for x in asked:
+                if x["e"] <= len(own):
+                    names.append((x["copy"], x["b"], x["e"]))
+                    words.append(" ".join(own[x["b"] : x["e"]]))
+        for start in range(0, len(names), 1000):
+            part = names[start : start + 1000]
+            columns = [pa.array([n[0] for n in part], pa.int64()), pa.array([n[1] for n in part], pa.int32()), pa.array([n[2] for n in part], pa.int32()), pa.array(words[start : start + 1000], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "b", "e", "words"])
+
+
+def _words_at(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, b, e, words) of places (doc_id, b, e)."""
+    asked = checkpointed(places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct(F.col("doc_id").alias("copy"), "b", "e")).alias("asked")))
+    few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_ROWS
+    return texts.join(F.broadcast(asked) if few else asked, "doc_id").select("text", "asked").mapInArrow(_slices, "doc_id long, b int, e int, words string")
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "words"):
+        offsets, words = word_hashes(batch.column("words"), normalise=False)
+        h = np.unique(_leading(windows(words, length)[window_owner(offsets, length)[0]], bits))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """All windows with their fingerprints, as places."""
+    for batch in text_slices(batches, "text"):
+        offsets, words = word_hashes(batch.column("text"), normalise=False)
+        start, doc = window_owner(offsets, length)
+        h = _leading(windows(words, length)[start], bits) if len(start) else np.zeros(0, np.uint64)
+        place = (start - offsets[doc]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(place), pa.array(place + np.int32(length)), pa.array(h.view(np.int64))], names=["doc_id", "b", "e", "h"])
+
+
+def _confirmed(texts: DataFrame, found: DataFrame, length: int, bits: int) -> DataFrame:
+    """(doc_id, b, e, source): passages whose words equal the source's, and what remains of the others by words."""
+    sourced = found.withColumn("to", F.col("at") + F.col("e") - F.col("b"))
+    copy = _words_at(texts, found.select("doc_id", "b", "e"))
+    first = _words_at(texts, sourced.select(F.col("source").alias("doc_id"), F.col("at").alias("b"), F.col("to").alias("e")))
+    first = first.select(F.col("doc_id").alias("source"), F.col("b").alias("at"), F.col("e").alias("to"), F.col("words").alias("source_words"))
+    both = sourced.join(copy, ["doc_id", "b", "e"]).join(first, ["source", "at", "to"])
+    good = checkpointed(both.where("words = source_words").select("doc_id", "b", "e", "source", "at").distinct())
+    bad = checkpointed(found.distinct().join(good, ["doc_id", "b", "e", "source", "at"], "left_anti"))
+    good = good.drop("at")
+    if bad.isEmpty():
+        return good
+    keys = checkpointed(_words_at(texts, bad.select("doc_id", "b", "e")).select("words").mapInArrow(lambda it: _fingerprints(it, length, bits), "h long").distinct())
+    places = texts.mapInArrow(lambda it: _windows_of(it, length, bits), "doc_id long, b int, e int, h long").join(small_or_shuffled(keys), "h", "left_semi")
+    named = checkpointed(_words_at(texts, places.select("doc_id", "b", "e")))
+    heads = named.groupBy("words").agg(F.min(F.struct("doc_id", "b")).alias("head"))
+    again = named.join(heads, "words").where("doc_id <> head.doc_id OR b <> head.b").select("doc_id", "b", "e", F.col("head.doc_id").alias("source"))
+    return good.unionByName(again)
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 64) -> DataFrame:
+    """(doc_id, begin_word, end_word, source_doc_id): the spans of words of each document that repeat earlier passages of `min_words` words or more, and the document where the first window of the span stands first. `bits` of the fingerprints are used; the result does not depend on them."""
+    from pyspark.sql import Window as W
+
     if min_words < PERIOD:
         raise ValueError(f"min_words must be at least {PERIOD}, the period of the cover")
     spark = docs.sparkSession
@@ -190,9 +260,16 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sample = texts.mapInArrow(lambda it: _packed(it, prefix, buckets, True), _PACKED)
     shared = sample.groupBy("bucket").applyInArrow(_shared_ranks, "chunk long, kind int, docs binary")
     flagged = checkpointed(shared.groupBy("chunk").applyInArrow(_flagged, "doc_id long").distinct())
-    suffixes = texts.join(small_or_shuffled(flagged), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _packed(it, min_words, buckets, False), _PACKED)
-    runs = suffixes.groupBy("bucket").applyInArrow(_sorted_bucket, "chunk long, kind int, docs binary, place binary, source binary")
-    return runs.groupBy("chunk").applyInArrow(lambda t: _spans(t, min_words), "doc_id long, begin_word int, end_word int, source_doc_id long")
+    some = texts.join(small_or_shuffled(flagged), "doc_id", "left_semi").select("doc_id", "text")
+    suffixes = some.mapInArrow(lambda it: _packed(it, min_words, buckets, False, bits), _PACKED)
+    runs = suffixes.groupBy("bucket").applyInArrow(_sorted_bucket, "chunk long, kind int, docs binary, place binary, source binary, source_place binary")
+    found = checkpointed(runs.groupBy("chunk").applyInArrow(lambda t: _passages(t, min_words), "doc_id long, b int, e int, source long, at int"))
+    sure = _confirmed(some, found, min_words, bits)
+    by = W.partitionBy("doc_id").orderBy("b", "e")
+    sure = sure.withColumn("fresh", F.coalesce(F.col("b") > F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    sure = sure.withColumn("k", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    spans = sure.groupBy("doc_id", "k").agg(F.min("b").alias("begin_word"), F.max("e").alias("end_word"), F.min_by("source", "b").alias("source_doc_id"))
+    return spans.select("doc_id", "begin_word", "end_word", "source_doc_id")
 
 
 _WORD = re.compile(r"\S+")

@@ -4,9 +4,9 @@ import itertools
 
 import pytest
 
-from driftquarry.llm import ngram_join, queries
+from driftquarry.llm import ngram_join, queries, suffix_dedup
 
-from .test_dedup import corpus, frame, sets
+from .test_dedup import brute_spans, corpus, frame, sets
 
 
 def brute_pairs(rows, n, threshold):
@@ -35,3 +35,19 @@ def test_all_pairs_of_an_id_with_several_texts(spark):
     rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (3, "v w x y z"), (4, "v w x y z")]
     got = sorted(tuple(r) for r in ngram_join.all_pairs(frame(spark, rows), 2, 0.5).collect())
     assert got == [(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0), (3, 4, 1.0)]
+
+
+@pytest.mark.parametrize("a,b", [("x3106 x1901", "x3530 x4447"), ("x4465 x4806", "x1219 x3695")])
+def test_op2_does_not_take_equal_bits_for_equal_words(spark, a, b):
+    head = " ".join(f"w{i}" for i in range(48))  # the windows' fingerprints agree in the last 40 bits and the first 6
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}")]
+    assert suffix_dedup.repeated_spans(frame(spark, rows)).collect() == []
+    assert sorted(r[1] for r in suffix_dedup.cut_repeats(frame(spark, rows)).collect()) == sorted(t for _, t in rows)
+
+
+@pytest.mark.parametrize("bits", [8, 13])
+def test_op2_compares_words_where_fingerprints_collide(spark, bits):
+    rows = corpus(1, 40)
+    got = suffix_dedup.repeated_spans(frame(spark, rows), 50, bits).collect()
+    assert sorted({tuple(r) for r in got}) == sorted(brute_spans(rows, 50))
+    assert len(got) == len({tuple(r) for r in got})
