@@ -18,3 +18,11 @@ def test_f6_escapes_the_whole_page(spark, sf_dir):
     want = whole(sf_dir, "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') FROM pages")
     assert sorted(map(tuple, got)) == sorted(want)
     assert max(len(x) for _, x in want) > 1300  # more than 200 characters can become
+
+
+def test_u2_unites_all_batches(spark, sf_dir):
+    got = registry.queries()["u2_union_batches"](spark, sf_dir).select("n", "total").collect()
+    [(n, total, odd)] = whole(sf_dir, f"WITH {base.FACTS} SELECT count(*), sum(k), count(*) FILTER (WHERE NOT ok) FROM facts")
+    assert odd  # non-finite and null divergences are among them
+    assert [r[0] for r in got] == [n]
+    assert got[0][1] == pytest.approx(total, abs=1e-4)
