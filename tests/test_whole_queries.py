@@ -26,3 +26,10 @@ def test_u2_unites_all_batches(spark, sf_dir):
     assert odd  # non-finite and null divergences are among them
     assert [r[0] for r in got] == [n]
     assert got[0][1] == pytest.approx(total, abs=1e-4)
+
+
+def test_f11_returns_every_token(spark, sf_dir):
+    got = registry.queries()["f11_tokenize"](spark, sf_dir).select("row_idx", "n", "tokens").collect()
+    want = whole(sf_dir, "SELECT doc_id, len(t), array_to_string(t, ' ') FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents)")
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert max(n for _, n, _ in want) > 3
