@@ -43,7 +43,7 @@ def a4(spark, d):
 
 @query("a5_iid_se", f"WITH {FACTS} SELECT student, round(stddev_samp(k) / sqrt(count(k)), 8) AS se, CASE WHEN count(*) FILTER (WHERE seq_id IS NULL) > 0 THEN 'iid' ELSE 'clustered-by-sequence' END AS se_method FROM (SELECT student, k, CASE WHEN student = 'N' AND pos = 7 THEN NULL ELSE seq_id END AS seq_id FROM facts) WHERE student = 'N' GROUP BY student")
 def a5(spark, d):
-    gaps = facts(spark, d).where("student = 'N'").withColumn("seq_id", F.when(~((F.col("student") == "N") & (F.col("pos") == 7)), F.col("seq_id")))
+    gaps = facts(spark, d).withColumn("seq_id", F.when(~((F.col("student") == "N") & (F.col("pos") == 7)), F.col("seq_id")))
     return aggregate.summarize(gaps).select("student", r8("se").alias("se"), "se_method")
 
 

@@ -33,3 +33,13 @@ def test_f11_returns_every_token(spark, sf_dir):
     want = whole(sf_dir, "SELECT doc_id, len(t), array_to_string(t, ' ') FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents)")
     assert sorted(map(tuple, got)) == sorted(want)
     assert max(n for _, n, _ in want) > 3
+
+
+def test_a5_has_every_student(spark, sf_dir):
+    got = {r["student"]: (r["se"], r["se_method"]) for r in registry.queries()["a5_iid_se"](spark, sf_dir).collect()}
+    clustered = {r[0]: r[1] for r in whole(sf_dir, registry.oracle_sql()["a4_clustered_se"])}
+    [(_, iid, method)] = whole(sf_dir, registry.oracle_sql()["a5_iid_se"])
+    want = {s: (iid, method) if s == "N" else (se, "clustered-by-sequence") for s, se in clustered.items()}
+    assert set(got) == set(want) and len(want) > 1
+    assert {s: m for s, (_, m) in got.items()} == {s: m for s, (_, m) in want.items()}
+    assert {s: e for s, (e, _) in got.items()} == pytest.approx({s: e for s, (e, _) in want.items()}, abs=1e-7)
