@@ -295,8 +295,7 @@ def f10(spark, d):
 
 @query("pf2_chat_nonblank", "SELECT conv_id AS row_idx, length(string_agg('<' || role || '>' || text || chr(10), '' ORDER BY turn))::INT AS n FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id")
 def pf2(spark, d):
-    rows = _chats(spark, d).withColumn("messages", F.when(F.col("conv_id") % 7 == 0, F.array().cast("array<struct<role:string,content:string>>")).otherwise(F.col("messages")))
-    return corpus.corpus_texts(rows, "conv_id", _template).select("row_idx", F.length("text").alias("n"))
+    return corpus.corpus_texts(_chats(spark, d), "conv_id", _template).select("row_idx", F.length("text").alias("n"))
 
 
 _WORDS = "SELECT doc_id AS row_idx, regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM documents"

@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 from driftquarry.plans import base, registry
+from driftquarry.sources import corpus
 
 
 def whole(sf_dir, sql):
     con = duckdb.connect()
-    for t in ("pages", "documents", "lineitem"):
+    for t in ("pages", "documents", "lineitem", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con.execute(sql).fetchall()
 
@@ -43,3 +44,16 @@ def test_a5_has_every_student(spark, sf_dir):
     assert set(got) == set(want) and len(want) > 1
     assert {s: m for s, (_, m) in got.items()} == {s: m for s, (_, m) in want.items()}
     assert {s: e for s, (e, _) in got.items()} == pytest.approx({s: e for s, (e, _) in want.items()}, abs=1e-7)
+
+
+def test_pf2_has_every_conversation(spark, sf_dir):
+    got = registry.queries()["pf2_chat_nonblank"](spark, sf_dir).select("row_idx", "n").collect()
+    want = whole(sf_dir, "SELECT conv_id, length(string_agg('<' || role || '>' || text || chr(10), '' ORDER BY turn)) FROM conversations GROUP BY conv_id")
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any(i % 7 == 0 for i, _ in want)
+
+
+def test_chats_without_messages_are_left_out(spark):
+    rows = spark.createDataFrame([(1, [("user", "a")]), (2, []), (3, None)], "conv_id long, messages array<struct<role:string,content:string>>")
+    texts = corpus.corpus_texts(rows, "conv_id", lambda role, content: content)
+    assert [r["row_idx"] for r in texts.collect()] == [1]
