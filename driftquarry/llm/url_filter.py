@@ -8,10 +8,15 @@ smoothed share of good labels and the logarithm of its count among the training
 Trees are grown on the driver in numpy, on histograms of quantile bins with a logistic loss, from a bounded
 sample of labelled URLs (`max_labelled`, the only thing collected). Every URL is scored, in Arrow batches.
 
+Suffix statistics are counted on one half of the sample (by a hash of the URL) and trees are grown on the other
+half, with those same statistics: a statistic never holds the label that a tree learns from, and means the same
+when fitting and when scoring. A split has to gain `MIN_GAIN`, more than the best of several hundred useless
+splits does by chance, so labels that URLs tell nothing about give the share of good labels and no trees.
+
 Defined cases. A null or empty URL has no features: its score is null and it is not kept. Null labels and null
 URLs are left out of training; repeated labelled URLs count as often as they occur. Without labels of both
-classes every URL scores the share of good labels (0.5 without any). Scores tie where features do. Further
-columns are ignored. An empty table gives an empty result.
+classes in the half that trees are grown on, every URL scores the share of good labels (0.5 without any). Scores
+tie where features do; of equally good splits the first feature's lowest cut is taken. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,8 @@ from .common import bound_batches
 
 MAX_LABELLED = 20_000
 TREES, DEPTH, RATE, BINS, SMOOTH = 60, 3, 0.15, 32, 20.0
+#: Least gain of a split, in units of twice the log-likelihood: useless splits gain 1 on average, the best of some hundred about 10.
+MIN_GAIN = 12.0
 _PARTS = regex.compile(r"^(?:[a-zA-Z][\w+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", regex.S)
 _DIGITS = regex.compile(r"\d+")
 _EXTENSION = regex.compile(r"\.([A-Za-z0-9]{1,8})$")
@@ -71,8 +79,11 @@ class UrlModel:
 
     def matrix(self, urls: list[str]) -> np.ndarray:
         x, ends = lexical(urls)
+        return np.hstack([x, self.statistics(ends)])
+
+    def statistics(self, ends: list[tuple[str, str, str]]) -> np.ndarray:
         unseen = (self.prior, 0.0)
-        return np.hstack([x, np.array([[v for s in e for v in self.stats.get(s, unseen)] for e in ends]).reshape(len(urls), 6)])
+        return np.array([[v for s in e for v in self.stats.get(s, unseen)] for e in ends]).reshape(len(ends), 6)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1)
@@ -107,7 +118,7 @@ def _grow(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndar
         gain = g**2 / (h + 1) + gr**2 / (hr + 1) - g[:, :, -1:] ** 2 / (h[:, :, -1:] + 1)
         gain[(h < 1) | (hr < 1)] = 0
         best = gain.reshape(n, -1).argmax(1)
-        split = gain.reshape(n, -1).max(1) > 1e-6
+        split = gain.reshape(n, -1).max(1) > MIN_GAIN
         feature[first : first + n] = np.where(split, best // (BINS + 1), 0)
         cut[first : first + n] = np.where(split, best % (BINS + 1), BINS)
         node = 2 * node + 1 + (bins[np.arange(len(bins)), feature[node]] > cut[node])
@@ -121,24 +132,26 @@ def train(urls: list[str], labels: list[int]) -> UrlModel:
     y = np.asarray(labels, dtype=float)
     prior = float(y.mean()) if len(y) else 0.5
     model = UrlModel(prior, base=float(np.log(np.clip(prior, 1e-6, 1 - 1e-6) / np.clip(1 - prior, 1e-6, 1))))
-    if len(np.unique(y)) < 2:
+    counting = np.array([xxhash.xxh3_64_intdigest(u) & 1 for u in urls], dtype=bool)
+    if len(np.unique(y[~counting])) < 2:
         return model
     x, ends = lexical(urls)
-    # A URL's own label stays out of its suffix statistics, or the trees would learn to read it back.
     total: dict[str, list[float]] = {}
-    for e, v in zip(ends, y):
-        for s in e:
+    for i in np.flatnonzero(counting):
+        for s in ends[i]:
             t = total.setdefault(s, [0.0, 0.0])
-            t[0] += v
+            t[0] += y[i]
             t[1] += 1
     model.stats = {s: ((g + SMOOTH * prior) / (n + SMOOTH), float(np.log1p(n))) for s, (g, n) in total.items()}
-    own = np.array([[v for s in e for v in ((total[s][0] - t + SMOOTH * prior) / (total[s][1] - 1 + SMOOTH), np.log1p(total[s][1]))] for e, t in zip(ends, y)])
-    x = np.hstack([x, own])
+    rows = np.flatnonzero(~counting)
+    x, y = np.hstack([x[rows], model.statistics([ends[i] for i in rows])]), y[rows]
     model.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     bins, score = model.binned(x), np.full(len(y), model.base)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         tree = _grow(bins, p - y, p * (1 - p))
+        if (tree[1] == BINS).all():
+            break  # nothing is left to learn
         score += tree[2][_leaf(bins, tree[0], tree[1])]
         model.trees.append(tree)
     return model

@@ -141,6 +141,50 @@ def test_url_trees_on_held_out_urls():
     assert ((model.log_odds([u for u, _ in data[2000:]]) > 0) == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("n,hosts", [(90, 3), (1000, 4), (4000, 2)])
+def test_url_labels_that_urls_tell_nothing_about(n, hosts):
+    rng = random.Random(n)
+    data = [(f"https://site{rng.randint(1, hosts)}.example.com/en/{rng.randint(1, 10**6)}?page={rng.randint(1, 9)}", int(rng.random() < 0.86)) for _ in range(n)]
+    data += data[: n // 20]  # repeated URLs
+    kept, share = [], np.mean([y for _, y in data])
+    for fold in range(5):
+        model = url_filter.train([u for i, (u, _) in enumerate(data) if i % 5 != fold], [y for i, (_, y) in enumerate(data) if i % 5 != fold])
+        own = [d for i, d in enumerate(data) if i % 5 == fold]
+        kept += list((model.log_odds([u for u, _ in own]) > 0) == np.array([y for _, y in own]))
+    assert np.mean(kept) >= share - 0.005
+
+
+def exhaustive_tree(bins, grad, hess, rows, depth):
+    """Leaves of the tree of best splits, by trying all of them."""
+    score = lambda r: sum(grad[r]) ** 2 / (sum(hess[r]) + 1)
+    if depth:
+        best = None
+        for f in range(bins.shape[1]):
+            for cut in range(url_filter.BINS):
+                left, right = rows[bins[rows, f] <= cut], rows[bins[rows, f] > cut]
+                if min(sum(hess[left]), sum(hess[right])) >= 1:
+                    gain = score(left) + score(right) - score(rows)
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, left, right)
+        if best and best[0] > url_filter.MIN_GAIN:
+            return exhaustive_tree(bins, grad, hess, best[1], depth - 1) | exhaustive_tree(bins, grad, hess, best[2], depth - 1)
+    return dict.fromkeys(rows.tolist(), -url_filter.RATE * sum(grad[rows]) / (sum(hess[rows]) + 1))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_tree_against_exhaustive_search(seed):
+    rng = np.random.default_rng(seed)
+    bins = rng.integers(0, 6, (300, 4))
+    bins[:, 2] = bins[:, 1]  # ties between features
+    y = (bins[:, 0] + bins[:, 1] + rng.normal(0, 1, 300) > 5).astype(float)
+    grad, hess = 0.5 - y, np.full(300, 0.25)
+    feature, cut, leaf = url_filter._grow(bins, grad, hess)
+    got = leaf[url_filter._leaf(bins, feature, cut)]
+    want = exhaustive_tree(bins, grad, hess, np.arange(300), url_filter.DEPTH)
+    assert len(set(want.values())) > 2
+    assert got == pytest.approx([want[i] for i in range(300)])
+
+
 def test_url_frames(spark):
     data = urls(400, 2)
     labels = spark.createDataFrame([(u, y) for u, y in data] + [(None, 1), ("x", None)], "url string, label int")
