@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from driftquarry.llm import hilbert, packing, vector_file
+from driftquarry.llm import hilbert, packing, queries, vector_file
 
 
 def best_fill(counts, space):
@@ -147,6 +148,40 @@ def test_search(spark, monkeypatch):
         assert {tuple(r) for r in vector_file.top_k(df, k).collect()} == brute_nearest(vectors, k)
 
 
+@pytest.mark.parametrize("offset,scale", [(1e4, 1), (1e7, 1), (1e8, 1), (-1e8, 1), (0, 1e-6), (0, 1e6), (1e8, 1e6)])
+def test_search_at_any_magnitude(spark, monkeypatch, offset, scale):
+    monkeypatch.setattr(vector_file, "BLOCK", 100)
+    rng = np.random.default_rng(11)
+    vectors = {i: (offset + scale * rng.normal(size=16)).tolist() for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in vector_file.top_k(df, 5).collect()} == brute_nearest(vectors, 5)
+
+
+def test_bounds_hold_and_batches_grow(spark, monkeypatch):
+    """A far outlier makes cells so wide that bounds tell little: many batches are read, the result is the same."""
+    monkeypatch.setattr(vector_file, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=4).tolist() for i in range(200)} | {500: [1e5] * 4}
+    x = np.array(list(vectors.values()))
+    low, step = x.min(0), (x.max(0) - x.min(0)) / vector_file.CELLS
+    cells = np.clip(np.floor((x - low) / step), 0, 255).astype(np.uint8)
+    radius = np.sqrt(((x - (low + (cells + 0.5) * step)) ** 2).sum(1))
+    lower, upper = vector_file.distance_bounds(x, cells, radius, low, step)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert (lower <= d).all() and (d <= upper).all()
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in vector_file.top_k(df, 2).collect()} == brute_nearest(vectors, 2)
+
+
+def test_search_of_stated_queries(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=3).astype(np.float32).tolist() for i in range(-40, 90)}
+    spark.createDataFrame([(i, v, 1) for i, v in vectors.items()], "vec_id long, embedding array<float>, asked int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in queries.op7_top_k(spark, str(tmp_path)).collect()}
+    assert got == {r for r in brute_nearest(vectors, 10) if r[0] % 20 == 0}
+    assert vector_file.top_k(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>"), queries=F.col("vec_id") > 5).collect() == []
+
+
 def test_search_small_tables(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in vector_file.top_k(df, 10).collect()) == [(1, 1, 3, 1.0), (1, 2, 2, 5.0), (2, 1, 3, 4.242641), (2, 2, 1, 5.0), (3, 1, 1, 1.0), (3, 2, 2, 4.242641)]
