@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 3 << 20
 #: Rows that a broadcast side may have; beyond it, operators use a shuffled join instead.
 BROADCAST_ROWS = 2_000_000
+#: Stored bytes of a bucket, the most buckets, an estimate that says the size is unknown; the most tasks of a `spread`.
+TEXT_BYTES, MOST_BUCKETS, UNKNOWN_BYTES, MOST_TASKS = 32 << 20, 1 << 22, 1 << 55, 50_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -69,9 +71,16 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Buckets of a hash or value range: four per shuffle partition, so that each is small and one task takes several in turn."""
-    return 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def n_buckets(df: DataFrame) -> int:
+    """Buckets of a hash or value range: of about TEXT_BYTES of stored input each by the optimizer's estimate, and four per shuffle partition or 256 at least."""
+    least = max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // TEXT_BYTES), MOST_BUCKETS)) if size < UNKNOWN_BYTES else least
+
+
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Hash-partition by the keys of groups that cost more than their bytes say: partitions that adaptive execution doesn't join up."""
+    return df.repartition(max(1, min(2 * int(groups), MOST_TASKS)), *keys)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

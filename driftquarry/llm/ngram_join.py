@@ -1,30 +1,36 @@
 """Exact Jaccard self-join on word n-grams, by vertical partitioning.
 
 The n-grams of all documents have one global order: by how many documents have them (in classes of an
-eighth of a doubling, rare ones first), then by hash. The order is cut into fragments of about equal size.
-Each fragment holds every document's n-grams of its range, counts the overlaps of pairs there, and the
-partial counts are summed per pair. The steps:
+eighth of a doubling, rare ones first), then by hash. The order is cut into fragments; a fragment holds the
+documents' n-grams of its range, counts the overlaps of pairs there, and the partial counts are summed per
+pair. The steps:
 
 1. `_scatter`: each document's n-gram set, split by hash range; n-grams travel as packed arrays, not rows.
 2. `_frequencies`: a hash range counts the documents of each n-gram and sends back the repeated ones.
    Since J(x, y) >= t needs t*|x| common n-grams, documents with fewer repeated ones are done with.
-3. Documents with the same set are one member from here on (`rep`, the smallest id).
-4. `_candidates`: rarest-first prefixes meet in fragments. A pair with J >= t shares an n-gram of both
-   prefixes, so passages that very many documents share meet nowhere unless they fill a document.
-5. `_partial`: fragments count the overlaps of candidate pairs; the sums decide.
-
-Nothing is capped. `all_pairs` puts every document of a set in its representative's place, so a group of k
-mutually similar documents, copies or not, gives k(k-1)/2 rows. `ngram_join` is the compact form for who needs
-only the groups: pairs of distinct sets, and one row for each further copy, with its representative at 1.0.
+3. Documents with the same set are one member from here on; how many they are is carried.
+4. `_candidates`: rarest-first prefixes meet in ranges of the order. A pair with J >= t shares an n-gram of both
+   prefixes, so passages that very many documents share meet nowhere unless they fill a document. The
+   documents of an n-gram that more than `HOT` have are split into groups, and each two groups meet apart.
+5. `_blocks_of`: candidate pairs are put into blocks. The pairs around one document (the smallest that the
+   first of a pair meets) share a block, or a grid of blocks if they are many; so a document's n-grams go to
+   the few blocks that name it, and pairs to each of the order's `FRAGMENTS` fragments, a constant: neither
+   grows with the other.
+6. `_partial`: a fragment counts the overlaps of a block's pairs; `_decide` sums a block's fragments.
+
+What comes out are classes: pairs are decided, counted and linked inside blocks, and a block gives a row for each
+of its documents, not for each pair. `near_classes` has a row for every document; `ngram_join` lists pairs of
+distinct sets for those who want them, and one row for each further copy. Nothing is capped.
 
 Defined cases. Words are split at white space, lower-cased and freed of all but letters and digits. A text
 of fewer than n words has one n-gram of all its words; null texts and texts without words have none and
-match nothing. Rows with a null id can't be named and are left out. Repeated rows are one document; where
-one id has several texts, pairs within the id are left out. Ties at the threshold belong to the result.
-Further columns are ignored. An empty table gives an empty result.
+match nothing. Rows with a null id can't be named and are left out. Repeated rows are one document; where one id
+has several sets of n-grams, each counts as a document of its own, the id's row adds up their links and has the
+smallest of their classes, and `ngram_join` leaves pairs within the id out. Ties at the threshold belong to the
+result. Further columns are ignored. An empty table gives an empty result.
 
 The input is scanned as stored: rows of a chunk must come in the same order if a task runs again, as they
-do from a table. Hashes have 64 bits in a document's set and 48 or more afterwards.
+do from a table. Hashes have 64 bits in a document's set and 48 or more, growing with the input, afterwards.
 """
 
 from __future__ import annotations
@@ -37,13 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, text_slices, window_owner, windows, word_hashes
+from .common import binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, spread, text_slices, window_owner, windows, word_hashes
 
 N, THRESHOLD = 5, 0.45
-#: Meetings of n-grams in a fragment of prefixes, n-grams in a fragment where overlaps are counted, candidate pairs of a block.
-MEETING, FRAGMENT, BLOCK = 2_000_000, 2_000_000, 2_000_000
-#: Documents of one set that stand in a row when pairs of sets become pairs of documents.
-COPIES = 1000
+#: Meetings of n-grams in a range of prefixes; documents of an n-gram beyond which they are split into groups.
+MEETING, HOT = 2_000_000, 1_000
+#: Fragments of the global order, n-grams in one fragment of a block, candidate pairs of a block.
+FRAGMENTS, FRAGMENT, BLOCK = 4, 2_000_000, 100_000
 
 #: bucket and chunk name the packed arrays; of a chunk's own row (kind 1): ids, sizes and set signatures.
 _PACKED = "bucket int, chunk long, kind int, docs binary, low binary, high binary"
@@ -196,14 +202,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
 
-def _pivots(members: DataFrame, fragment: int, meetings: bool = False) -> np.ndarray:
-    """Cuts of the global order into ranges of about `fragment` n-grams (or meetings: each counts as often as documents have it): whole cells of the leading 16 bits, or even parts of a large one, since hashes are spread evenly within."""
-    cells = sorted(map(tuple, members.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()))
+def _cuts(cells: list[tuple[int, int]], limit: int, meetings: bool = False) -> np.ndarray:
+    """Cuts of the global order into ranges of about `limit` n-grams (or meetings: each counts as often as documents have it): whole cells of the leading 16 bits, or even parts of a large one, since hashes are spread evenly within."""
     cuts, filled = [], 0
     for cell, n in cells:
         n = round(n * 2 ** ((cell >> 8) / 8)) if meetings else n
-        parts = -(-n // fragment)
-        if filled and filled + n > fragment:
+        parts = -(-n // limit)
+        if filled and filled + n > limit:
             cuts.append(cell << 48)
             filled = 0
         cuts += [(cell << 48) + (i << 48) // parts for i in range(1, parts)]
@@ -211,8 +216,13 @@ def _pivots(members: DataFrame, fragment: int, meetings: bool = False) -> np.nda
     return np.array(cuts, dtype=np.uint64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Prefix entries by fragment, packed."""
+def _groups(cls: np.ndarray) -> np.ndarray:
+    """Into how many groups the documents of an n-gram of this class of frequency are split."""
+    return np.ceil(2 ** ((cls.astype(np.float64) + 1) / 8) / HOT).astype(np.int64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, pivots: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
+    """Prefix entries by range of the order, or for n-grams that very many have by two groups of their documents, packed."""
     for batch in batches:
         ids, size = np.asarray(batch.column("doc_id")), np.asarray(batch.column("size")).astype(np.int64)
         grams, lengths = _joined(pa.chunked_array([batch.column("grams")]), np.uint64)
@@ -223,8 +233,24 @@ def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, pivots: np.nd
         place = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
         g = grams[first[owner] + place]
         place += (size - lengths)[owner]
-        order, names, bounds = split_by(np.searchsorted(pivots, g, side="right"), len(pivots) + 1)
-        info = (size[owner] << 32 | place)[order]
+        fragment, side = np.searchsorted(pivots, g, side="right"), np.zeros(len(g), np.int64)
+        n = _groups(g >> np.uint64(56))
+        at = np.flatnonzero(n > 1)
+        if len(at):
+            # Each entry meets every group, its own included; within a pair of groups only the two sides meet.
+            own = (mix(ids[owner[at]].astype(np.uint64)) % n[at].astype(np.uint64)).astype(np.int64)
+            from_ = np.repeat(np.arange(len(at)), n[at])
+            other = np.arange(len(from_)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+            mine = own[from_]
+            cell = np.minimum(mine, other) * n[at][from_] + np.maximum(mine, other)
+            key = mix(g[at][from_] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            cold = n <= 1
+            g, owner, place = np.concatenate([g[cold], key]), np.concatenate([owner[cold], owner[at][from_]]), np.concatenate([place[cold], place[at][from_]])
+            fragment = np.concatenate([fragment[cold], len(pivots) + 1 + (key % np.uint64(hot)).astype(np.int64)])
+            side = np.concatenate([side[cold], np.where(mine == other, 0, np.where(mine < other, 1, 2))])
+        order, names, bounds = split_by(fragment, len(pivots) + 1 + hot)
+        order = np.concatenate([o[np.argsort(owner[o], kind="stable")] for o in np.split(order, bounds[1:-1])]) if len(order) else order
+        info = (size[owner] << 32 | side << 30 | place)[order]
         yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), binaries(g[order], bounds), *_runs(owner[order], bounds, ids), binaries(info, bounds)], names=["fragment", "grams", "ids", "counts", "info"])
 
 
@@ -253,135 +279,208 @@ def _pairs_of_runs(key: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[np
 
 
 def _candidates(table: pa.Table, threshold: float) -> pa.Table:
-    """Of one fragment: pairs that share a prefix n-gram and whose sizes and places leave room for the overlap needed."""
+    """Of one range: pairs that share a prefix n-gram and whose sizes and places leave room for the overlap needed."""
     gram, info = _joined(table.column("grams"), np.uint64)[0], _joined(table.column("info"), np.int64)[0]
     doc = np.repeat(_joined(table.column("ids"), np.int64)[0], _joined(table.column("counts"), np.uint32)[0])
     order = np.lexsort((doc, gram))
-    gram, doc, size, place = gram[order], doc[order], info[order] >> 32, info[order] & 0xFFFFFFFF
+    gram, doc, info = gram[order], doc[order], info[order]
+    size, side, place = info >> 32, info >> 30 & 3, info & 0x3FFFFFFF
     found = []
     for i, j in _pairs_of_runs(gram):
         need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
-        ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (doc[i] != doc[j])
+        ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (doc[i] != doc[j]) & ((side[i] == 0) | (side[i] != side[j]))
         if ok.any():
             found.append(np.unique(np.stack([doc[i[ok]], doc[j[ok]]], 1), axis=0))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
 
-def _segments(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Each document's n-grams cut at the pivots: to every fragment its segment, once for each block of pairs."""
+def _blocks_of(pairs: DataFrame, blocks: int) -> DataFrame:
+    """(a, b, block): pairs with the block that each is decided in."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    named = pairs.join(small_or_shuffled(least), "a")
+    # Labels with more pairs than half a block get a grid of cells; there are at most 2 * pairs / BLOCK of them.
+    many = checkpointed(named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 2).select("label", F.ceil(F.sqrt(2 * F.col("n") / BLOCK)).cast("long").alias("grid")))
+    named = named.join(small_or_shuffled(many), "label", "left").withColumn("grid", F.coalesce("grid", F.lit(1).cast("long")))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("grid"))
+    return named.select("a", "b", F.pmod(F.xxhash64("label", part("a"), part("b")), F.lit(blocks)).cast("int").alias("block"))
+
+
+_BLOCK = "fragment int, block int, kind int, ids binary, counts binary, info binary"
+
+
+def _segments(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each document's n-grams cut at the pivots, to the fragments of its block (kind 0); its size and number of copies to the first (kind 2)."""
+    cuts = len(pivots) + 1
     for batch in batches:
-        ids, size = np.asarray(batch.column("doc_id")), np.asarray(batch.column("size")).astype(np.int64)
+        ids, size, copies, block = (np.asarray(batch.column(c)).astype(np.int64) for c in ("doc_id", "size", "copies", "block"))
         grams, lengths = _joined(pa.chunked_array([batch.column("grams")]), np.uint64)
         owner = np.repeat(np.arange(len(ids)), lengths)
-        order, names, bounds = split_by(np.searchsorted(pivots, grams, side="right"), len(pivots) + 1)
-        columns = [binaries(grams[order], bounds), *_runs(owner[order], bounds, ids), _runs(owner[order], bounds, size)[0]]
-        for block in range(blocks):
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int32)), pa.array(np.zeros(len(names), np.int32)), *columns], names=["fragment", "block", "kind", "grams", "ids", "counts", "info"])
+        order, names, bounds = split_by(block[owner] * cuts + np.searchsorted(pivots, grams, side="right"), 1 << 32)
+        n = len(names)
+        yield pa.RecordBatch.from_arrays([pa.array((names % cuts).astype(np.int32)), pa.array((names // cuts).astype(np.int32)), pa.array(np.zeros(n, np.int32)), *_runs(owner[order], bounds, ids), binaries(grams[order], bounds)], names=["fragment", "block", "kind", "ids", "counts", "info"])
+        order, names, bounds = split_by(block, 1 << 32)
+        n = len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(names.astype(np.int32)), pa.array(np.full(n, 2, np.int32)), binaries(ids[order], bounds), binaries(size[order], bounds), binaries(copies[order], bounds)], names=["fragment", "block", "kind", "ids", "counts", "info"])
 
 
-def _pair_blocks(batches: Iterator[pa.RecordBatch], fragments: int, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs, packed by block and sent to every fragment."""
+def _pairs_out(batches: Iterator[pa.RecordBatch], fragments: int) -> Iterator[pa.RecordBatch]:
+    """Pairs packed by block, to every fragment (kind 1)."""
     for batch in batches:
         a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
-        order, names, bounds = split_by(mix(a.astype(np.uint64)) % np.uint64(blocks), blocks)
+        order, names, bounds = split_by(np.asarray(batch.column("block")).astype(np.int64), 1 << 32)
         first, second, empty = binaries(a[order], bounds), binaries(b[order], bounds), pa.array([b""] * len(names), pa.binary())
         for fragment in range(fragments):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), fragment, np.int32)), pa.array(names.astype(np.int32)), pa.array(np.ones(len(names), np.int32)), empty, first, empty, second], names=["fragment", "block", "kind", "grams", "ids", "counts", "info"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), fragment, np.int32)), pa.array(names.astype(np.int32)), pa.array(np.ones(len(names), np.int32)), first, empty, second], names=["fragment", "block", "kind", "ids", "counts", "info"])
 
 
 def _partial(table: pa.Table) -> pa.Table:
-    """Of one fragment and block: how many of the fragment's n-grams each candidate pair has in common."""
+    """Of one fragment and block: how many of the fragment's n-grams each pair has in common, in order of the pairs; from the first fragment also the pairs, sizes and copies."""
     kind = np.asarray(table.column("kind"))
-    parts, named = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
-    grams = _joined(parts.column("grams"), np.uint64)[0]
+    parts, named, sized = (table.filter(pa.array(kind == k)) for k in (0, 1, 2))
     pairs = np.stack([_joined(named.column(c), np.int64)[0] for c in ("ids", "info")], 1)
-    names = ["a", "b", "common", "size_a", "size_b"]
-    if not len(grams) or not len(pairs):
-        return pa.table([pa.array([], pa.int64())] * 5, names=names)
-    run_ids, counts, run_sizes = (_joined(parts.column(c), t)[0] for c, t in (("ids", np.int64), ("counts", np.uint32), ("info", np.int64)))
-    ids, run = np.unique(run_ids, return_inverse=True)
-    doc, rank = np.repeat(run, counts), np.unique(grams, return_inverse=True)[1]
-    order = np.argsort(doc, kind="stable")
-    rank, bounds = rank[order], np.searchsorted(doc[order], np.arange(len(ids) + 1))
-    sizes = np.zeros(len(ids), np.int64)
-    sizes[run] = run_sizes
-    x, y = np.minimum(np.searchsorted(ids, pairs), len(ids) - 1).T
-    here = (ids[x] == pairs[:, 0]) & (ids[y] == pairs[:, 1])
-    x, y = x[here], y[here]
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    mark, common = np.zeros(int(rank.max()) + 1, np.int64), np.zeros(len(x), np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    for start, stop in zip(cuts, np.append(cuts[1:], len(x))):
-        own = rank[bounds[x[start]] : bounds[x[start] + 1]]
-        mark[own] = 1
-        for s in range(start, stop, 2000):
-            ys = y[s : min(stop, s + 2000)]
-            n = bounds[ys + 1] - bounds[ys]
-            first = np.cumsum(n) - n
-            common[s : s + len(ys)] = np.add.reduceat(mark[rank[np.repeat(bounds[ys] - first, n) + np.arange(int(n.sum()))]], first)
-        mark[own] = 0
-    kept = common > 0
-    x, y = x[kept], y[kept]
-    return pa.table([pa.array(v) for v in (ids[x], ids[y], common[kept], sizes[x], sizes[y])], names=names)
-
-
-def _near_sets(docs: DataFrame, n: int, threshold: float, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents that may have a partner (doc_id, sig, size), the first of each set of these (sig, size, rep, row), and pairs (a, b, jaccard) of distinct sets, named by their first's `key`: doc_id, or row, which is a set's own where an id has several texts."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    buckets = n_buckets(spark)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    common = np.zeros(len(pairs), np.uint32)
+    grams = _joined(parts.column("info"), np.uint64)[0]
+    if len(grams) and len(pairs):
+        run_ids, counts = _joined(parts.column("ids"), np.int64)[0], _joined(parts.column("counts"), np.uint32)[0]
+        ids, run = np.unique(run_ids, return_inverse=True)
+        doc, rank = np.repeat(run, counts), np.unique(grams, return_inverse=True)[1]
+        order = np.argsort(doc, kind="stable")
+        rank, bounds = rank[order], np.searchsorted(doc[order], np.arange(len(ids) + 1))
+        at = np.minimum(np.searchsorted(ids, pairs), len(ids) - 1)
+        here = np.flatnonzero((ids[at] == pairs).all(1))
+        x, y = at[here].T
+        mark = np.zeros(int(rank.max()) + 1, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        for start, stop in zip(starts, np.append(starts[1:], len(x))):
+            own = rank[bounds[x[start]] : bounds[x[start] + 1]]
+            mark[own] = 1
+            for s in range(start, stop, 2000):
+                ys = y[s : min(stop, s + 2000)]
+                n = bounds[ys + 1] - bounds[ys]
+                first = np.cumsum(n) - n
+                common[here[s : s + len(ys)]] = np.add.reduceat(mark[rank[np.repeat(bounds[ys] - first, n) + np.arange(int(n.sum()))]], first)
+            mark[own] = 0
+    out = {"block": table.column("block").slice(0, 1), "counts": pa.array([common.tobytes()], pa.binary())}
+    first = table.column("fragment")[0].as_py() == 0
+    out["a"] = pa.array([np.ascontiguousarray(pairs[:, 0]).tobytes() if first else None], pa.binary())
+    out["b"] = pa.array([np.ascontiguousarray(pairs[:, 1]).tobytes() if first else None], pa.binary())
+    for name, column in (("ids", "ids"), ("sizes", "counts"), ("copies", "info")):
+        out[name] = pa.array([_joined(sized.column(column), np.int64)[0].tobytes() if first else None], pa.binary())
+    return pa.table(out)
+
+
+_PARTS = "block int, counts binary, a binary, b binary, ids binary, sizes binary, copies binary"
+
+
+def _decided(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: partial counts summed; documents, their copies, and the pairs (by their places among the documents) at or above the threshold with their Jaccard index."""
+    first = table.filter(table.column("a").is_valid())
+    if not first.num_rows:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing, nothing, np.zeros(0)
+    a, b, ids, sizes, copies = (np.frombuffer(first.column(c)[0].as_buffer(), np.int64) for c in ("a", "b", "ids", "sizes", "copies"))
+    common = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for c in table.column("counts").chunks for x in c)
+    ids, at = np.unique(ids, return_index=True)
+    sizes, copies = sizes[at], copies[at]
+    x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    jaccard = common / (sizes[x] + sizes[y] - common)
+    near = jaccard >= threshold
+    return ids, copies, x[near], y[near], jaccard[near]
+
+
+def _listed(table: pa.Table, threshold: float) -> pa.Table:
+    ids, _, x, y, jaccard = _decided(table, threshold)
+    return pa.table({"a": ids[x], "b": ids[y], "jaccard": jaccard})
+
+
+def local_roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each of n vertices' component by edges (x, y)."""
+    root = np.arange(n)
+    while True:
+        u, v = root[x], root[y]
+        if (u == v).all():
+            return root
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not (root == root[root]).all():
+            root = root[root]
+
+
+def _linked(table: pa.Table, threshold: float) -> pa.Table:
+    """Of one block: by document with a link there, how many documents it is linked to and the first one that it is connected with."""
+    ids, copies, x, y, _ = _decided(table, threshold)
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, x, copies[y])
+    np.add.at(links, y, copies[x])
+    root, some = local_roots(x, y, len(ids)), links > 0
+    return pa.table({"row": ids[some], "links": links[some], "root": ids[root[some]]})
+
+
+def _near_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that may have a partner (doc_id, sig, size), the first of each set of these (sig, size, row, rep, copies), and the blocks with the partial counts of candidate pairs of sets, which are named by `row`."""
+    bound_batches(docs.sparkSession)
+    buckets = n_buckets(docs)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(lambda it: _scatter(it, n=n, buckets=buckets), _PACKED)
     repeated = packed.groupBy("bucket").applyInArrow(_frequencies, _PACKED)
     members = checkpointed(repeated.groupBy("chunk").applyInArrow(lambda t: _members(t, threshold=threshold), _MEMBERS))
-    heads = checkpointed(members.groupBy("sig", "size").agg(F.min(F.struct("doc_id", "row")).alias("head")).select("sig", "size", F.col("head.doc_id").alias("rep"), F.col("head.row").alias("row")))
-    reps = members.join(small_or_shuffled(heads.select("row")), "row", "left_semi").select(F.col(key).alias("doc_id"), "size", "grams")
-
-    meeting = _pivots(reps, MEETING, meetings=True)
-    prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=meeting), "fragment int, grams binary, ids binary, counts binary, info binary")
-    candidates = checkpointed(prefixes.groupBy("fragment").applyInArrow(lambda t: _candidates(t, threshold=threshold), "a long, b long").distinct())
-    blocks = max(1, -(-candidates.count() // BLOCK))
-    shape = "fragment int, block int, kind int, grams binary, ids binary, counts binary, info binary"
-    named = checkpointed(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    pivots = _pivots(reps, FRAGMENT)
-    segments = reps.join(small_or_shuffled(named), "doc_id", "left_semi").select("doc_id", "size", "grams").mapInArrow(lambda it: _segments(it, pivots=pivots, blocks=blocks), shape)
-    pairs = candidates.mapInArrow(lambda it: _pair_blocks(it, fragments=len(pivots) + 1, blocks=blocks), shape)
-    parts = segments.unionByName(pairs).groupBy("fragment", "block").applyInArrow(_partial, "a long, b long, common long, size_a long, size_b long")
-    sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
-    near = sums.select("a", "b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
-    return members.select("doc_id", "sig", "size"), heads, near.where(F.col("jaccard") >= threshold)
+    one = members.groupBy("sig", "size", "doc_id").agg(F.min("row").alias("row"))
+    heads = one.groupBy("sig", "size").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("copies"))
+    heads = checkpointed(heads.select("sig", "size", F.col("head.row").alias("row"), F.col("head.doc_id").alias("rep"), "copies"))
+    reps = members.select("row", "size", "grams").join(small_or_shuffled(heads.select("row", "copies")), "row").withColumnRenamed("row", "doc_id")
+
+    cells = sorted(map(tuple, reps.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()))
+    cold = [(cell, k) for cell, k in cells if _groups(np.array([cell >> 8]))[0] == 1]
+    meets = sum(k * 2 ** ((cell >> 8) / 8) for cell, k in cells) - sum(k * 2 ** ((cell >> 8) / 8) for cell, k in cold)
+    pivots, hot = _cuts(cold, MEETING, meetings=True), max(1, round(meets / MEETING))
+    prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=pivots, hot=hot), "fragment int, grams binary, ids binary, counts binary, info binary")
+    found = spread(prefixes, len(pivots) + 1 + hot, "fragment").groupBy("fragment").applyInArrow(lambda t: _candidates(t, threshold=threshold), "a long, b long")
+    candidates = checkpointed(found.distinct())
+
+    total = sum(k for _, k in cells)
+    blocks = max(1, -(-candidates.count() // BLOCK), -(-total // (FRAGMENTS * FRAGMENT)))
+    placed = checkpointed(_blocks_of(candidates, blocks))
+    named = checkpointed(placed.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    cuts = _cuts(cells, max(1, -(-total // FRAGMENTS)))
+    segments = reps.join(small_or_shuffled(named), "doc_id").select("doc_id", "size", "copies", "block", "grams").mapInArrow(lambda it: _segments(it, pivots=cuts), _BLOCK)
+    pairs = placed.mapInArrow(lambda it: _pairs_out(it, fragments=len(cuts) + 1), _BLOCK)
+    parts = spread(segments.unionByName(pairs), (len(cuts) + 1) * blocks, "fragment", "block").groupBy("fragment", "block").applyInArrow(_partial, _PARTS)
+    return members.select("doc_id", "sig", "size").distinct(), heads, parts.groupBy("block")
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, compact: every pair of distinct n-gram sets with a Jaccard index of `threshold` or more, by their representatives, and every further document of a set with its representative."""
-    members, heads, near = _near_sets(docs, n, threshold, "doc_id")
-    copies = members.join(heads.drop("row"), ["sig", "size"]).where("doc_id <> rep").distinct()
-    copies = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard").unionByName(copies).withColumn("jaccard", F.round("jaccard", 6))
-
-
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of documents whose n-gram sets have a Jaccard index of `threshold` or more; of an id with several texts, the best."""
-    from pyspark.sql import Window as W
-
-    members, heads, near = _near_sets(docs, n, threshold, "row")
-    sets = checkpointed(members.join(heads.drop("rep"), ["sig", "size"]).select("row", "doc_id").distinct())
-    place = F.floor((F.row_number().over(W.partitionBy("row").orderBy("doc_id")) - 1) / COPIES)
-    blocks = checkpointed(sets.withColumn("block", place).groupBy("row", "block").agg(F.collect_list("doc_id").alias("ids")))
-    shared = blocks.where((F.size("ids") > 1) | (F.col("block") > 0)).select("row").distinct()
-    both = near.unionByName(shared.select(F.col("row").alias("a"), F.col("row").alias("b"), F.lit(1.0).alias("jaccard")))
-    side_table = F.broadcast(blocks) if sets.count() <= BROADCAST_ROWS else blocks
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of distinct n-gram sets with a Jaccard index of `threshold` or more, by their representatives (the smallest ids), and every further document of a set with its representative."""
+    members, heads, blocks = _near_sets(docs, n, threshold)
+    near = blocks.applyInArrow(lambda t: _listed(t, threshold), "a long, b long, jaccard double")
     for side in "ab":
-        both = both.join(side_table.select(F.col("row").alias(side), F.col("block").alias(f"block_{side}"), F.col("ids").alias(f"ids_{side}")), side)
-    both = both.where("a <> b OR block_a <= block_b")
-    # A row now stands for at most COPIES^2 pairs: spread before they are listed, so that no task has a large group to itself.
-    both = both.repartition(n_buckets(docs.sparkSession), "a", "b", "block_a", "block_b").select("a", "b", "block_a", "block_b", "jaccard", "ids_b", F.explode("ids_a").alias("x"))
-    both = both.select("a", "b", "block_a", "block_b", "jaccard", "x", F.explode("ids_b").alias("y")).where("x <> y AND (a <> b OR block_a <> block_b OR x < y)")
-    pairs = both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    if sets.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return pairs
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+        near = near.join(small_or_shuffled(heads.select(F.col("row").alias(side), F.col("rep").alias(f"doc_{side}"))), side)
+    near = near.where("doc_a <> doc_b").groupBy(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    copies = members.join(small_or_shuffled(heads), ["sig", "size"]).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    near = near.unionByName(copies.distinct().withColumn("jaccard", F.lit(1.0)))
+    return near.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _classes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_id, class_id, links) of the documents that have a link."""
+    members, heads, blocks = _near_sets(docs, n, threshold)
+    linked = checkpointed(blocks.applyInArrow(lambda t: _linked(t, threshold), "row long, links long, root long"))
+    found = components(linked.select(F.col("row").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("row"), "root")
+    sets = heads.join(linked.groupBy("row").agg(F.sum("links").alias("links")), "row", "left").join(found, "row", "left")
+    sets = sets.select("sig", "size", "rep", F.coalesce("root", "row").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    sets = checkpointed(sets)
+    first = sets.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = sets.join(first, "root").select("sig", "size", "class_id", "links")
+    return members.join(small_or_shuffled(checkpointed(named)), ["sig", "size"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+
+
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of every document with an id: the smallest id of the documents that links connect it with (its own without any), and to how many documents it has a link, a Jaccard index of `threshold` or more."""
+    linked = checkpointed(_classes(docs, n, threshold))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    every = ids.join(small_or_shuffled(linked), "doc_id", "left")
+    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -404,6 +503,6 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without near copies: of each group connected by the join, the document with the smallest id stays; same columns. Rows with a null id stay."""
-    later = checkpointed(components(ngram_join(docs, n, threshold)).where("doc_id <> root").select("doc_id"))
+    """`docs` without near copies: of each class, the document with the smallest id stays; same columns. Rows with a null id stay."""
+    later = checkpointed(_classes(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
     return docs.join(small_or_shuffled(later), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

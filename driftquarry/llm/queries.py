@@ -39,7 +39,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.all_pairs(_table(spark, sf_dir, "documents"))
+    """One row per document, with its class and its number of links."""
+    return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +63,13 @@ def queries() -> dict:
 
 #: Words of a text as the n-gram join sees them.
 _GRAMS = f"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: regexp_replace(lower(x), '[^\\pL\\pN]+', '', 'g')), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (
   SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {ngram_join.N} + 1, 1) + 1), lambda i: array_to_string(w[i:i + {ngram_join.N} - 1], ' ')))) AS g
   FROM w WHERE len(w) > 0),
-r AS (SELECT g, min(doc_id) AS doc_id, len(g) AS n FROM g GROUP BY g),
+r AS (SELECT g, min(doc_id) AS doc_id, len(g) AS n, count(*) AS copies FROM g GROUP BY g),
 p AS (SELECT doc_id, n, unnest(g) AS x FROM r),
 o AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS c
@@ -83,8 +84,17 @@ WITH p AS (
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id)::INT AS rank, neighbor_id, round(d, 6) AS distance
 FROM p QUALIFY rank <= {vector_file.K}""",
     "op4_ngram_join": _GRAMS
-    + f"""SELECT doc_a, doc_b, round(c / (na + nb - c), 6) AS jaccard FROM o WHERE c / (na + nb - c) >= {ngram_join.THRESHOLD}
-UNION ALL SELECT DISTINCT r.doc_id, g.doc_id, 1.0::DOUBLE FROM g JOIN r ON g.g = r.g WHERE g.doc_id <> r.doc_id""",
+    + f""",
+l AS (SELECT doc_a, doc_b FROM o WHERE c / (na + nb - c) >= {ngram_join.THRESHOLD}),
+e AS (SELECT doc_a AS a, doc_b AS b FROM l UNION ALL SELECT doc_b, doc_a FROM l),
+c AS (SELECT a AS doc_id, a AS class_id FROM e UNION SELECT e.b, c.class_id FROM c JOIN e ON e.a = c.doc_id WHERE c.class_id < e.b),
+k AS (SELECT doc_id, min(class_id) AS class_id FROM c GROUP BY doc_id),
+m AS (SELECT a AS doc_id, sum(r.copies) AS n FROM e JOIN r ON r.doc_id = e.b GROUP BY a),
+s AS (
+  SELECT g.doc_id, coalesce(k.class_id, r.doc_id) AS class_id, coalesce(m.n, 0) + r.copies - 1 AS n
+  FROM g JOIN r ON g.g = r.g LEFT JOIN k ON k.doc_id = r.doc_id LEFT JOIN m ON m.doc_id = r.doc_id)
+SELECT d.doc_id, coalesce(s.class_id, d.doc_id) AS class_id, coalesce(s.n, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN s ON s.doc_id = d.doc_id""",
     "op2_suffix_dedup": f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT doc_id, w, unnest(range(0, len(w) - {suffix_dedup.MIN_WORDS} + 1)) AS p FROM w),

@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 64)
         raise ValueError(f"min_words must be at least {PERIOD}, the period of the cover")
     spark = docs.sparkSession
     bound_batches(spark)
-    buckets = n_buckets(spark)
+    buckets = n_buckets(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     prefix = min_words - PERIOD + 1
     sample = texts.mapInArrow(lambda it: _packed(it, prefix, buckets, True), _PACKED)

@@ -1,12 +1,14 @@
 """Corpus operators do the whole job: no pair, window or word is left out."""
 
+import collections
 import itertools
 
+import numpy as np
 import pytest
 
 from driftquarry.llm import ngram_join, queries, suffix_dedup
 
-from .test_dedup import brute_spans, corpus, frame, sets
+from .test_dedup import brute_groups, brute_spans, corpus, frame, sets
 
 
 def brute_pairs(rows, n, threshold):
@@ -18,23 +20,39 @@ def brute_pairs(rows, n, threshold):
     return out
 
 
-@pytest.mark.parametrize("copies", [1000, 2])
-def test_op4_gives_every_pair_of_copies(spark, tmp_path, monkeypatch, copies):
-    monkeypatch.setattr(ngram_join, "COPIES", copies)
+def brute_classes(rows, n, threshold):
+    pairs = brute_pairs(rows, n, threshold)
+    roots, links = brute_groups(pairs), collections.Counter(x for p in pairs for x in p)
+    return {i: (roots.get(i, i), links[i]) for i, _ in rows if i is not None}
+
+
+@pytest.mark.parametrize("block,hot,meeting", [(100_000, 1000, 2_000_000), (10, 4, 200), (40, 9, 1000)])
+def test_op4_loses_no_link(spark, tmp_path, monkeypatch, block, hot, meeting):
+    for name, value in (("BLOCK", block), ("HOT", hot), ("MEETING", meeting)):
+        monkeypatch.setattr(ngram_join, name, value)
     near = "a b c d e f g h i j k l"
     rows = corpus(1) + [(100 + i, near) for i in range(5)] + [(200 + i, near + " m") for i in range(3)]
+    rows += [(300 + i, " ".join(f"x{k}" if k != i else f"y{i}" for k in range(40))) for i in range(30)]  # a class of near copies
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op4_ngram_join(spark, str(tmp_path)).collect()
-    want = brute_pairs(rows, 5, 0.45)
-    assert {(r[0], r[1]): r[2] for r in got} == pytest.approx(want, abs=1e-6)
-    assert len(got) == len(want)
-    assert {(103, 104), (104, 201), (201, 202)} <= set(want)  # none of these is a representative
+    want = brute_classes(rows, 5, 0.45)
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    assert len(got) == len(want) and want[104] == (100, 7)
+
+
+def test_an_id_with_several_texts(spark):
+    rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (3, "v w x y z"), (4, "v w x y z"), (5, "p q r")]
+    df = frame(spark, rows)
+    assert sorted(tuple(r) for r in ngram_join.ngram_join(df, 2, 0.5).collect()) == [(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0)]
+    assert sorted(tuple(r) for r in ngram_join.near_classes(df, 2, 0.5).collect()) == [(1, 1, 3), (2, 1, 1), (3, 1, 2), (4, 1, 2), (5, 5, 0)]
 
 
-def test_all_pairs_of_an_id_with_several_texts(spark):
-    rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (3, "v w x y z"), (4, "v w x y z")]
-    got = sorted(tuple(r) for r in ngram_join.all_pairs(frame(spark, rows), 2, 0.5).collect())
-    assert got == [(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0), (3, 4, 1.0)]
+def test_local_roots():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = rng.integers(0, 40, (2, rng.integers(0, 40)))
+        roots = brute_groups(list(zip(x.tolist(), y.tolist())))
+        assert ngram_join.local_roots(x, y, 40).tolist() == [roots.get(i, i) for i in range(40)]
 
 
 @pytest.mark.parametrize("a,b", [("x3106 x1901", "x3530 x4447"), ("x4465 x4806", "x1219 x3695")])
