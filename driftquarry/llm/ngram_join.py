@@ -47,7 +47,9 @@ from .common import binaries, bound_batches, checkpointed, mix, n_buckets, small
 
 N, THRESHOLD = 5, 0.45
 #: Meetings of n-grams in a range of prefixes; documents of an n-gram beyond which they are split into groups.
-MEETING, HOT = 2_000_000, 1_000
+MEETING, HOT = 10_000_000, 1_000
+#: Documents of a range up to which pairs are marked in a table.
+MARKED = 6_000
 #: Fragments of the global order, n-grams in one fragment of a block, candidate pairs of a block.
 FRAGMENTS, FRAGMENT, BLOCK = 4, 2_000_000, 100_000
 
@@ -285,14 +287,20 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     order = np.lexsort((doc, gram))
     gram, doc, info = gram[order], doc[order], info[order]
     size, side, place = info >> 32, info >> 30 & 3, info & 0x3FFFFFFF
-    found = []
+    ids, doc = np.unique(doc, return_inverse=True)
+    n = len(ids)
+    # Pairs met are marked in a table of all pairs where that is small, else sorted.
+    marked, found = np.zeros(n * n if n <= MARKED else 0, bool), np.zeros(0, np.int64)
     for i, j in _pairs_of_runs(gram):
         need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
         ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (doc[i] != doc[j]) & ((side[i] == 0) | (side[i] != side[j]))
-        if ok.any():
-            found.append(np.unique(np.stack([doc[i[ok]], doc[j[ok]]], 1), axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+        key = doc[i[ok]] * n + doc[j[ok]]
+        if n <= MARKED:
+            marked[key] = True
+        else:
+            found = np.unique(np.concatenate([found, np.unique(key)]))
+    found = np.flatnonzero(marked) if n <= MARKED else found
+    return pa.table({"a": ids[found // max(n, 1)], "b": ids[found % max(n, 1)]})
 
 
 def _blocks_of(pairs: DataFrame, blocks: int) -> DataFrame:

@@ -93,6 +93,7 @@ def test_join(spark, monkeypatch, seed, n, threshold):
     monkeypatch.setattr(ngram_join, "FRAGMENT", 500)
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     monkeypatch.setattr(ngram_join, "HOT", 6)
+    monkeypatch.setattr(ngram_join, "MARKED", 6000 if seed == 1 else 3)
     rows = corpus(seed)
     got = ngram_join.ngram_join(frame(spark, rows), n, threshold).collect()
     assert {(r[0], r[1]): r[2] for r in got} == pytest.approx(brute_join(rows, n, threshold), abs=1e-6)
