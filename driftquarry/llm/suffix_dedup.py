@@ -17,11 +17,14 @@ the suffix array:
    sorted: equal prefixes are neighbours) and each bucket is sorted by (prefix, id, place). All 64 bits are kept.
 3. Neighbours with an equal fingerprint are repeats to be confirmed; the first of them is the source.
 4. Words. Neighbouring repeats with neighbouring sources are one passage, whose words are compared with the
-   source's. Where they differ (fingerprints collided), all windows of the fingerprints concerned are grouped
-   by their words instead. So what is reported, and cut, has been compared word by word.
+   source's, by 128-bit digests of the words. Where they differ (fingerprints collided), all windows of the
+   fingerprints concerned are grouped by the digests of their words instead. So nothing is reported, or cut, on the
+   word of a fingerprint.
 
-Positions travel as packed arrays by bucket and chunk, not as rows. Nothing is capped, and copies of any
-number cost what they weigh: a run of k equal suffixes gives k - 1 places.
+Positions travel as packed arrays by bucket and chunk, not as rows. Of equal prefixes in a chunk only the first goes
+to a bucket; the others stay with their chunk and get what the first is told. So a passage that a third of all
+documents hold weighs a chunk's worth in its bucket. Nothing is capped, and copies of any number cost what they
+weigh: a run of k equal suffixes gives k - 1 places.
 
 Defined cases. Words are split at white space and compared as they are. Texts of fewer than `min_words`
 words, empty and null texts have no windows and are never cut. Rows with a null id are left alone. A row
@@ -34,6 +37,7 @@ The input is scanned as stored: rows of a chunk must come in the same order if a
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -59,7 +63,7 @@ def _leading(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample: bool, bits: int = 64) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the `length`-word prefixes of suffixes, by bucket: of sampled ones without their places, or of all with ids and places."""
+    """Fingerprints of the `length`-word prefixes of suffixes, by bucket: of sampled ones without their places, or of all with ids and places. The chunk's own row has its ids, and its ties: the documents that hold some, or all but the first of each with the first's place."""
     chunk = TaskContext.get().partitionId() << 32
     in_cover = np.zeros(PERIOD, bool)
     in_cover[list(COVER)] = True
@@ -73,12 +77,26 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample
             kept = in_cover[place % PERIOD]
             start, doc, place = start[kept], doc[kept], place[kept]
         h = _leading(h[start], bits) if len(start) else np.zeros(0, np.uint64)
+        ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
+        # Texts in order of their id: the first of a run of equal prefixes is then the chunk's first.
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[by_id] = np.arange(len(ids))
+        order = np.lexsort((rank[doc] << 32 | place, h)) if len(h) else np.zeros(0, np.int64)
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
+        head = order[new][np.cumsum(new) - 1] if len(h) else order
+        other, head = order[~new], head[~new]
+        if sample:
+            tied = np.unique(np.concatenate([doc[other], doc[head]])).astype(np.uint32)
+        else:
+            tied = np.stack([doc[other], place[other], doc[head], place[head]], 1).astype(np.uint32)
+        first = np.sort(order[new])
+        h, doc, place = h[first], doc[first], place[first]
         order, names, bounds = split_by(((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), buckets)
         h, doc, place = h[order], doc[order], place[order]
-        n, ids = len(names) + 1, np.asarray(batch.column("doc_id"), dtype=np.int64)
+        n = len(names) + 1
         empty = pa.array([b""], pa.binary())
         none = pa.array([b""] * (n - 1), pa.binary())
-        own = pa.array([ids.tobytes()], pa.binary())
         present = none
         if not sample:
             starts = np.concatenate([[True], (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -89,10 +107,10 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int, sample
                 pa.array(np.append(names.astype(np.int32), np.int32((chunk * 0x9E3779B1) % buckets)), pa.int32()),
                 pa.array(np.full(n, chunk), pa.int64()),
                 pa.array(np.append(np.zeros(n - 1, np.int32), np.int32(1)), pa.int32()),
-                pa.concat_arrays([binaries(_steps(doc, bounds[:-1]), bounds), own]),
+                pa.concat_arrays([binaries(_steps(doc, bounds[:-1]), bounds), pa.array([ids.tobytes()], pa.binary())]),
                 pa.concat_arrays([binaries(h.astype(np.uint32), bounds), empty]),
                 pa.concat_arrays([binaries((h >> np.uint64(32)).astype(np.uint8 if sample else np.uint32), bounds), empty]),
-                pa.concat_arrays([none if sample else binaries(place.astype(np.uint32), bounds), empty]),
+                pa.concat_arrays([none if sample else binaries(place.astype(np.uint32), bounds), pa.array([tied.tobytes()], pa.binary())]),
                 pa.concat_arrays([present, empty]),
             ],
             names=["bucket", "chunk", "kind", "docs", "low", "high", "place", "ids"],
@@ -111,10 +129,10 @@ def _open(packed: pa.Table, high_type: type) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _shared_ranks(table: pa.Table) -> pa.Table:
-    """Of one bucket of the cover sample: by chunk, the documents with a suffix whose rank is shared."""
+    """Of one bucket of the cover sample: by chunk, the documents with a suffix whose rank another chunk shares."""
     kind = np.asarray(table.column("kind"))
     own, packed = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
-    out = [pa.table({"chunk": own.column("chunk"), "kind": own.column("kind"), "docs": own.column("docs")})]
+    out = [pa.table({"chunk": own.column("chunk"), "kind": own.column("kind"), "docs": own.column("docs"), "tied": own.column("place")})]
     if packed.num_rows:
         key, docs, row, lengths = _open(packed, np.uint8)
         order = np.argsort(key)
@@ -125,15 +143,16 @@ def _shared_ranks(table: pa.Table) -> pa.Table:
         tied[order[:-1]] |= same
         pick = np.unique(row[tied] << 32 | docs[tied])
         bounds = np.searchsorted(pick >> 32, np.arange(len(lengths) + 1))
-        out.append(pa.table({"chunk": packed.column("chunk"), "kind": packed.column("kind"), "docs": binaries((pick & 0xFFFFFFFF).astype(np.uint32), bounds)}).cast(out[0].schema))
+        out.append(pa.table({"chunk": packed.column("chunk"), "kind": packed.column("kind"), "docs": binaries((pick & 0xFFFFFFFF).astype(np.uint32), bounds), "tied": pa.nulls(packed.num_rows, pa.binary())}).cast(out[0].schema))
     return pa.concat_tables(out)
 
 
 def _flagged(table: pa.Table) -> pa.Table:
-    kind = np.asarray(table.column("kind"))
-    ids = np.frombuffer(table.filter(pa.array(kind == 1)).column("docs")[0].as_buffer(), np.int64)
-    docs, _ = _joined(table.filter(pa.array(kind == 0)).column("docs"), np.uint32)
-    return pa.table({"doc_id": pa.array(ids[np.unique(docs)])})
+    own = table.filter(pa.array(np.asarray(table.column("kind")) == 1))
+    ids = np.frombuffer(own.column("docs")[0].as_buffer(), np.int64)
+    docs, _ = _joined(table.filter(pa.array(np.asarray(table.column("kind")) == 0)).column("docs"), np.uint32)
+    tied = np.frombuffer(own.column("tied")[0].as_buffer(), np.uint32)
+    return pa.table({"doc_id": pa.array(ids[np.unique(np.concatenate([docs, tied]))])})
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
@@ -177,6 +196,17 @@ def _passages(table: pa.Table, length: int) -> pa.Table:
     if len(docs):
         begin = (np.cumsum(lengths) - lengths)[lengths > 0]
         docs -= np.repeat((docs - steps)[begin], lengths[lengths > 0])
+    # What stayed with the chunk has the source of its chunk's first, or that itself.
+    doc, where, head, head_place = np.frombuffer(table.filter(pa.array(kind == 1)).column("place")[0].as_buffer(), np.uint32).reshape(-1, 4).astype(np.int64).T
+    told = np.argsort(docs << 32 | place)
+    known, key = (docs << 32 | place)[told], head << 32 | head_place
+    slot = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+    hit = known[slot] == key if len(known) else np.zeros(len(key), bool)
+    other_source, other_at = ids[head].copy(), head_place.copy()
+    if hit.any():
+        other_source[hit], other_at[hit] = source[told[slot[hit]]], at[told[slot[hit]]]
+    later = (ids[doc] != other_source) | (where != other_at)
+    docs, place, source, at = (np.concatenate(p) for p in ((docs, doc[later]), (place, where[later]), (source, other_source[later]), (at, other_at[later])))
     order = np.lexsort((place, docs))
     docs, place, source, at = docs[order], place[order], source[order], at[order]
     new = np.ones(len(docs), bool)
@@ -185,33 +215,33 @@ def _passages(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[docs[new]]), "b": pa.array(place[new].astype(np.int32)), "e": pa.array((place[last] + length).astype(np.int32)), "source": pa.array(source[new]), "at": pa.array(at[new].astype(np.int32))})
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that are asked for of each text; a text that is too short for them has none."""
+def _slices(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    """The words that are asked for of each text, or their digest; a text that is too short for them has none."""
     for batch in text_slices(batches, "text"):
         names, words = [], []
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
-            own = pc.utf8_split_whitespace(pa.array([text or ""]))[0].as_py()
-            own = [w for w in own if w]
+            own = [w for w in pc.utf8_split_whitespace(pa.array([text or ""]))[0].as_py() if w]
             for x in asked:
                 if x["e"] <= len(own):
                     names.append((x["copy"], x["b"], x["e"]))
-                    words.append(" ".join(own[x["b"] : x["e"]]))
+                    part = " ".join(own[x["b"] : x["e"]]).encode()
+                    words.append(hashlib.blake2b(part, digest_size=16).digest() if digest else part)
         for start in range(0, len(names), 1000):
             part = names[start : start + 1000]
-            columns = [pa.array([n[0] for n in part], pa.int64()), pa.array([n[1] for n in part], pa.int32()), pa.array([n[2] for n in part], pa.int32()), pa.array(words[start : start + 1000], pa.string())]
+            columns = [pa.array([n[0] for n in part], pa.int64()), pa.array([n[1] for n in part], pa.int32()), pa.array([n[2] for n in part], pa.int32()), pa.array(words[start : start + 1000], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "b", "e", "words"])
 
 
-def _words_at(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, b, e, words) of places (doc_id, b, e)."""
+def _words_at(texts: DataFrame, places: DataFrame, digest: bool = True) -> DataFrame:
+    """(doc_id, b, e, words) of places (doc_id, b, e): 128-bit digests of the words, or the words as bytes."""
     asked = checkpointed(places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct(F.col("doc_id").alias("copy"), "b", "e")).alias("asked")))
     few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_ROWS
-    return texts.join(F.broadcast(asked) if few else asked, "doc_id").select("text", "asked").mapInArrow(_slices, "doc_id long, b int, e int, words string")
+    return texts.join(F.broadcast(asked) if few else asked, "doc_id").select("text", "asked").mapInArrow(lambda it: _slices(it, digest), "doc_id long, b int, e int, words binary")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "words"):
-        offsets, words = word_hashes(batch.column("words"), normalise=False)
+        offsets, words = word_hashes(batch.column("words").cast(pa.string()), normalise=False)
         h = np.unique(_leading(windows(words, length)[window_owner(offsets, length)[0]], bits))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
@@ -229,16 +259,16 @@ def _windows_of(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> It
 def _confirmed(texts: DataFrame, found: DataFrame, length: int, bits: int) -> DataFrame:
     """(doc_id, b, e, source): passages whose words equal the source's, and what remains of the others by words."""
     sourced = found.withColumn("to", F.col("at") + F.col("e") - F.col("b"))
-    copy = _words_at(texts, found.select("doc_id", "b", "e"))
-    first = _words_at(texts, sourced.select(F.col("source").alias("doc_id"), F.col("at").alias("b"), F.col("to").alias("e")))
-    first = first.select(F.col("doc_id").alias("source"), F.col("b").alias("at"), F.col("e").alias("to"), F.col("words").alias("source_words"))
-    both = sourced.join(copy, ["doc_id", "b", "e"]).join(first, ["source", "at", "to"])
+    sides = found.select("doc_id", "b", "e").unionByName(sourced.select(F.col("source").alias("doc_id"), F.col("at").alias("b"), F.col("to").alias("e")))
+    words = checkpointed(_words_at(texts, sides).distinct())  # of an id with several texts, of each
+    first = words.select(F.col("doc_id").alias("source"), F.col("b").alias("at"), F.col("e").alias("to"), F.col("words").alias("source_words"))
+    both = sourced.join(words, ["doc_id", "b", "e"]).join(first, ["source", "at", "to"])
     good = checkpointed(both.where("words = source_words").select("doc_id", "b", "e", "source", "at").distinct())
     bad = checkpointed(found.distinct().join(good, ["doc_id", "b", "e", "source", "at"], "left_anti"))
     good = good.drop("at")
     if bad.isEmpty():
         return good
-    keys = checkpointed(_words_at(texts, bad.select("doc_id", "b", "e")).select("words").mapInArrow(lambda it: _fingerprints(it, length, bits), "h long").distinct())
+    keys = checkpointed(_words_at(texts, bad.select("doc_id", "b", "e"), digest=False).select("words").mapInArrow(lambda it: _fingerprints(it, length, bits), "h long").distinct())
     places = texts.mapInArrow(lambda it: _windows_of(it, length, bits), "doc_id long, b int, e int, h long").join(small_or_shuffled(keys), "h", "left_semi")
     named = checkpointed(_words_at(texts, places.select("doc_id", "b", "e")))
     heads = named.groupBy("words").agg(F.min(F.struct("doc_id", "b")).alias("head"))
@@ -258,7 +288,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 64)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     prefix = min_words - PERIOD + 1
     sample = texts.mapInArrow(lambda it: _packed(it, prefix, buckets, True), _PACKED)
-    shared = sample.groupBy("bucket").applyInArrow(_shared_ranks, "chunk long, kind int, docs binary")
+    shared = sample.groupBy("bucket").applyInArrow(_shared_ranks, "chunk long, kind int, docs binary, tied binary")
     flagged = checkpointed(shared.groupBy("chunk").applyInArrow(_flagged, "doc_id long").distinct())
     some = texts.join(small_or_shuffled(flagged), "doc_id", "left_semi").select("doc_id", "text")
     suffixes = some.mapInArrow(lambda it: _packed(it, min_words, buckets, False, bits), _PACKED)
