@@ -23,19 +23,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of `docs` without later copies; same columns."""
     n = other_names(docs, "content_hash", "row_", "tie_", "n_")
     key, row, tie, count = n["content_hash"], n["row_"], n["tie_"], n["n_"]
-    hashed = docs.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    hashed = docs.withColumn(key, F.unhex(F.md5(text.cast("binary"))))
     repeated = checkpointed(hashed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(count)).where(F.col(count) > 1).select(key))
     repeated = small_or_shuffled(repeated)
-    single = hashed.join(repeated, key, "left_anti").select(*docs.columns)
+    single = hashed.join(repeated, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*plain))
+    order = F.struct(ident.isNull(), ident, F.xxhash64(*plain))
     # The text is a key, so bytes are compared within a hash; rows carry all else.
     rest = [c for c in docs.columns if c != text_col]
     copies = (
         hashed.join(repeated, key, "left_semi")
         .withColumn(row, F.struct(*[F.col(f"`{c}`") for c in rest]))
         .withColumn(tie, order)
-        .groupBy(key, text_col)
+        .groupBy(key, text)
         .agg(F.min_by(row, tie).alias(row))
     )
     return single.unionByName(copies.select(*[F.col(f"`{c}`") if c == text_col else F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns]))
