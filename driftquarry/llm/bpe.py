@@ -10,8 +10,8 @@ Pieces come from the vocabulary's pattern. Where a text has no two white-space c
 not cross spaces or line breaks, so the text is cut there and each distinct cut piece is encoded once; all other
 texts go through the pattern whole. Ids of a slice are gathered by numpy.
 
-Defined cases. A null text gives null ids, an empty one no ids. Null ids decode to null; ids outside the
-vocabulary, or whose bytes are not UTF-8 together, are an error. Rows stay one to one, repeated or not. Further
+Defined cases. A null text gives null ids, an empty one no ids. A null list of ids decodes to null, and so does one
+that holds a null or an id outside the vocabulary, or whose bytes are not UTF-8 together. Rows stay one to one, repeated or not. Further
 columns are carried; a result whose name is taken gets a leading underscore. An empty table gives an empty result.
 """
 
@@ -180,15 +180,28 @@ class Encoder:
     def decode(self, ids: pa.Array) -> pa.Array:
         """Texts of lists of ids."""
         offsets = np.asarray(ids.offsets, dtype=np.int64) - ids.offsets[0].as_py()
-        flat = np.asarray(ids.values.slice(ids.offsets[0].as_py(), offsets[-1]), dtype=np.int64)
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.tokens)):
-            raise ValueError("an id is not in the vocabulary")
+        values = ids.values.slice(ids.offsets[0].as_py(), offsets[-1])
+        flat = np.asarray(pc.fill_null(values, -1), dtype=np.int64)
+        unknown = (flat < 0) | (flat >= len(self.tokens))
+        seen = np.concatenate([[0], np.cumsum(unknown)])[offsets]
+        void = (np.diff(seen) > 0) | np.asarray(pc.is_null(ids))
+        flat = np.where(unknown, 0, flat)
         sizes = self.sizes[flat]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         raw = self.table[np.repeat(self.starts[flat] - ends[:-1], sizes) + np.arange(ends[-1])] if len(flat) else self.table[:0]
         out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends[offsets].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
-        out = out.cast(pa.string())
-        return pc.if_else(pc.is_null(ids), pa.scalar(None, pa.string()), out) if ids.null_count else out
+        try:
+            out = out.cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([_text(x) for x in out.to_pylist()], pa.string())
+        return pc.if_else(pa.array(void), pa.scalar(None, pa.string()), out) if void.any() else out
+
+
+def _text(raw: bytes) -> str | None:
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
 
 
 _encoders: dict[str, Encoder] = {}
