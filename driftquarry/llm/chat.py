@@ -12,8 +12,8 @@ Of equally cheap repairs, the one whose choices come first in the order above at
 roles in the order system, user, assistant; so the result is determined. The repair depends on the sequence of
 roles only and is remembered by it.
 
-Defined cases. A null role is unknown; a null text is an empty text. Roles are compared trimmed and in lower
-case. Turns are in order of `turn` (null first), then role, then text; repeated rows are further turns. Rows with
+Defined cases. A null role is unknown; a null text is an empty text. Roles are compared without white space around
+them and in lower case. A text's own `<|` is rendered as `< |`, so that no text can pass for a turn. Turns are in order of `turn` (null first), then role, then text; repeated rows are further turns. Rows with
 a null conversation id are left out. A conversation's turns must fit in one task's memory, however many they are.
 Further columns are ignored. An empty table gives an empty result.
 """
@@ -32,6 +32,8 @@ ROLES = ("system", "user", "assistant")
 RELABEL, MERGE, INSERT = 2, 1, 3
 #: What a turn is rendered as.
 TEMPLATE = "<|{role}|>\n{text}\n<|end|>\n"
+#: What opens the template's marks, and what stands for it within texts.
+MARK, PLAIN = "<|", "< |"
 #: State: the last role, or nothing yet. Roles that may follow it without an insertion, or with one of the role named.
 _START = "start"
 _NEXT = {_START: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
@@ -90,13 +92,13 @@ def render(steps: list[Step], texts: list[str], template: str = TEMPLATE) -> tup
             turns[-1][1] += ("\n" if turns[-1][1] and texts[k] else "") + texts[k]
         else:
             turns.append([role, texts[k]])
-    return "".join(template.format(role=r, text=t) for r, t in turns), [r for r, _ in turns]
+    return "".join(template.format(role=r, text=t.replace(MARK, PLAIN)) for r, t in turns), [r for r, _ in turns]
 
 
 def format_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, cost, roles, rendered): each conversation repaired at minimum cost."""
     bound_batches(turns.sparkSession)
-    ordered = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    ordered = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lower(F.regexp_replace("role", r"(?U)^\s+|\s+$", "")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
     flat = ordered.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
