@@ -4,13 +4,13 @@ A document is the average of learned vectors of its features: hashed words, hash
 each word, and hashed pairs of neighbouring words (a word followed by itself is one shared feature). A
 softmax layer over the average gives the class. Vectors and layer are trained together on the driver by
 stochastic gradient descent in numpy, on a bounded sample of labelled documents (`max_labelled`); the
-sample is the only thing collected. Scoring reads every document whole: since the layer is linear, each
+sample is the only thing collected, and no more than `max_bytes` of it. Scoring reads every document whole: since the layer is linear, each
 feature's vector shrinks to one number before it is shipped, and a document's score is a mean of lookups,
 done once for each distinct word of a slice.
 
 Defined cases. Null and empty texts have no features: they score the class prior given by the bias and
 are rejected (`keep` false), as there is nothing to learn from them. Null labels are left out of training;
-labels of both classes are needed, else every document with a word scores 1 and stays. Repeated label rows
+with labels of one class every document with a word has that class, and without labels it scores 0.5 and stays. Repeated label rows
 count as often as they occur. Further columns are ignored or carried. An empty table gives an empty result.
 """
 
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, mix, other_names, text_slices, windows, words_of
+from .common import bound_batches, checkpointed, mix, other_names, text_slices, windows, words_of
 
 #: log2 of the feature table, sizes of the character n-grams.
 BITS, GRAMS = 18, (3, 4)
-MAX_LABELLED = 3000
+MAX_LABELLED, MAX_BYTES = 3000, 48 << 20
 THRESHOLD = 0.5
 _MASK = np.uint64((1 << BITS) - 1)
 
@@ -109,7 +109,7 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 5, ra
     """Fit embeddings and a two-class softmax layer by minibatch stochastic gradient descent with per-row step sizes."""
     y = np.asarray(labels, dtype=np.int64)
     if len(np.unique(y)) < 2:
-        return QualityModel(np.zeros(1 << BITS, np.float32), 30.0)
+        return QualityModel(np.zeros(1 << BITS, np.float32), 60.0 * float(y[0] > 0) - 30 if len(y) else 0.0)
     parts = [features(pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)]  # in slices, for the driver's memory
     starts = np.cumsum([0, *[p[0][-1] for p in parts]])
     bounds = np.concatenate([[0], *[p[0][1:] + s for p, s in zip(parts, starts)]])
@@ -168,11 +168,19 @@ def log_odds(texts: pa.Array, model: QualityModel) -> tuple[np.ndarray, np.ndarr
     return total / np.maximum(many, 1) + model.bias, count
 
 
-def train_on(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """Fit on at most `max_labelled` labelled documents, chosen by a hash of their ids."""
+def train_on(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> QualityModel:
+    """Fit on at most `max_labelled` labelled documents, chosen by a hash of their ids, or as many whole texts of these in that order as `max_bytes` hold."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text", "label").alias("row"), F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label")
+    found = checkpointed(found)
+    taken, size = set(), 0
+    for row in found.select("h", "doc_id", "label", "row", F.octet_length("text").alias("n")).orderBy("h", "doc_id", "label", "row").collect():
+        size += row["n"]
+        if size > max_bytes:
+            break
+        taken.add(row["row"])
+    rows = [r for r in found.where(F.col("row").isin(taken) if size > max_bytes else F.lit(True)).select("doc_id", "text", "label").collect()]
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     return train([r[1] for r in rows], [r[2] for r in rows])
 
