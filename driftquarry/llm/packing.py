@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, checkpointed, small_or_shuffled, text_slices, words_of
 
 CAPACITY = 2048
-#: Documents of one length are ranked in so many parts, so that a frequent length is not one task's work.
-SALTS = 64
+#: Pieces of one length are ranked in parts of about so many, so that a frequent length is not one task's work.
+RANKED = 500_000
 
 
 def fill(counts: dict[int, int], space: int) -> dict[int, int]:
@@ -106,14 +106,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length_col: str | None = Non
     sized = sized.where("doc_id IS NOT NULL AND n > 0")
     pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
-    pieces = checkpointed(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    histogram: dict[int, int] = {}
-    starts = []
-    for length, salt, n in sorted(map(tuple, counts)):
-        starts.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    # Both tables are bounded by the capacity, not by the corpus.
+    pieces = checkpointed(pieces)
+    histogram = {length: n for length, n in map(tuple, pieces.groupBy("length").agg(F.count("*")).collect())}
+    parts = spark.createDataFrame([(length, -(-n // RANKED)) for length, n in histogram.items()], "length int, parts long")
+    pieces = pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "parts").cast("int")).drop("parts")
+    starts, before = [], {}
+    for length, salt, n in sorted(map(tuple, pieces.groupBy("length", "salt").agg(F.count("*")).collect())):
+        starts.append((length, salt, before.get(length, 0)))
+        before[length] = before.get(length, 0) + n
+    # One row for each length and half a million pieces; the plan is bounded by the capacity.
     starts = spark.createDataFrame(starts, "length int, salt int, start long")
     planned = spark.createDataFrame(_intervals(plan(histogram, capacity)), "length int, low long, high long, first long, each long, base int")
     ranked = pieces.withColumn("place", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
