@@ -6,8 +6,8 @@ index on a Hilbert curve, rows are sorted by it and the order is cut into runs o
 Neighbours on the curve are neighbours in every dimension, so each run covers a small box and a reader with a
 predicate on any of the dimensions skips most files.
 
-The cut needs a running sum over the whole order. There are at most 2^(bits * dimensions) curve cells, so their
-sums are put in order first; rows then add a running sum within their cell.
+The cut needs a running sum over the whole order: it is sorted into ranges, one per shuffle partition, whose sums are
+put in order first; rows then add a running sum within their range.
 
 Defined cases. Nulls are in the lowest cell. Strings that agree in the bytes used share cells. Null or negative
 weights count as zero. Ties on the curve are in order of the id, null ids first; repeated rows lie side by side. Further
@@ -104,11 +104,14 @@ def assign(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, weight: str
         return pd.Series(hilbert_index(np.stack(found, 1), bits))
 
     rows = checkpointed(flat.select("id", "w", index(*[F.col(f"d{i}") for i in range(len(dimensions))]).alias("hilbert")))
-    # Running sum over the curve's cells, then within each.
-    sums = rows.groupBy("hilbert").agg(F.sum("w").alias("total"))
-    before = sums.select("hilbert", (F.sum("total").over(W.orderBy("hilbert")) - F.col("total")).alias("before"))
-    within = F.sum("w").over(W.partitionBy("hilbert").orderBy("id", "w").rowsBetween(W.unboundedPreceding, -1))
-    placed = rows.withColumn("within", F.coalesce(within, F.lit(0))).join(small_or_shuffled(checkpointed(before)), "hilbert")
+    # The order is cut into ranges by (index, id), so that a full cell is several tasks' work; a running sum over the ranges, then within each.
+    by = ["hilbert", F.col("id").asc_nulls_first(), "w"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(rows.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("part").agg(F.sum("w").alias("total"))
+    before = sums.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
+    within = F.sum("w").over(W.partitionBy("part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "part")
     return placed.select(F.col("id").alias(id_col), "hilbert", F.floor((F.col("before") + F.col("within")) / target).cast("long").alias("shard"))
 
 
