@@ -60,6 +60,12 @@ def shared_folder(spark: SparkSession) -> str:
     return have.get()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -164,6 +170,8 @@ def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """The array's bytes cut at `bounds`, as a binary column."""
     values = np.ascontiguousarray(values)
+    if values.nbytes > np.iinfo(np.int32).max:
+        raise OverflowError("a bucket returns more than 2 GB: it needs more buckets")
     offsets = (np.asarray(bounds, dtype=np.int64) * values.dtype.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
