@@ -3,12 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from driftquarry.llm import exact_dedup, ngram_join, suffix_dedup
+from driftquarry.llm import common, exact_dedup, ngram_join, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content_hash string, spans_ int, row_ int"
 
@@ -64,6 +65,19 @@ def test_exact_shuffled_join_and_empty(spark, monkeypatch):
     assert exact_dedup.exact_dedup(frame(spark, [])).collect() == []
 
 
+def test_exact_with_dots_in_names(spark):
+    df = spark.createDataFrame([(1, "a", 2), (2, "a", 3), (3, None, 4)], "`my.id` long, `the.text` string, `a.b` int")
+    kept = exact_dedup.exact_dedup(df, "my.id", "the.text")
+    assert kept.columns == df.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
+    named = frame(spark, [(1, "a"), (2, "a"), (3, "b")]).withColumnRenamed("lang", "lang.code")
+    assert sorted(r[0] for r in exact_dedup.exact_dedup(named).collect()) == [1, 3]
+
+
+def test_packed_arrays_do_not_overflow():
+    with pytest.raises(OverflowError):
+        common.binaries(np.zeros(1 << 28, np.uint64), [0, 1 << 28])
+
+
 def sets(rows, n):
     out = {}
     for i, t in rows:

@@ -189,3 +189,22 @@ def test_search_small_tables(spark):
     assert vector_file.top_k(df.limit(1)).collect() == []
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     assert {r[3] for r in vector_file.top_k(same, 2).collect()} == {0.0}
+
+
+def test_full_cells_and_lengths_are_several_tasks_work(spark, monkeypatch):
+    rows = [(i, "en", "web", 10, "a b c") for i in range(500)] + [(None, "en", "web", 10, "d e"), (7, "en", "web", 10, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string")
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["shard"]) for r in hilbert.assign(df, target=100).collect())
+    assert [s for _, s in got] == sorted(s for _, s in got) and {s for _, s in got} == set(range(51))  # in order of the id, ten rows a shard
+    monkeypatch.setattr(packing, "RANKED", 20)
+    packed = packing.pack(df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), 7).collect()
+    check_windows([tuple(r) for r in packed], dict.fromkeys(range(500), 3) | {7: sum(r["length"] for r in packed if r["doc_id"] == 7)}, 7)
+
+
+def test_write_shards_of_nothing_and_of_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "en", "web", 3, "a", 1), (2, "de", "news", 4, "b", 2)], "doc_id long, lang string, source string, n_chars long, hilbert_ string, shard_ int")
+    hilbert.write_shards(df, f"{tmp_path}/two")
+    back = spark.read.parquet(f"{tmp_path}/two")
+    assert back.columns == df.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    hilbert.write_shards(df.limit(0), f"{tmp_path}/none")
+    assert spark.read.schema(df.schema).parquet(f"{tmp_path}/none").collect() == []
