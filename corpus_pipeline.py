@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from driftquarry.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
-from driftquarry.llm.common import shared_folder
+from driftquarry.llm.common import remove_folder, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what stages return is kept in the folder that executors share."""
+    """All stages over documents. What stages return is written to the folder that executors share, and deleted once the next stage is written; only what the last one reads stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
+        if before:
+            remove_folder(spark, f"{where}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
