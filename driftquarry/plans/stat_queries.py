@@ -16,8 +16,8 @@ _SE = """SELECT student, sqrt(count(*) / (count(*) - 1.0) * sum(r * r) / (sum(n)
   SELECT student, seq_id, sum({v} - m) AS r, count(*) AS n FROM (SELECT *, avg({v}) OVER (PARTITION BY student) AS m FROM facts WHERE {ok}) GROUP BY student, seq_id) GROUP BY student"""
 
 
-def _scalars(spark, d):
-    return aggregate.scalars(facts(spark, d), ("student",))
+def _scalars(spark, d, **shares):
+    return aggregate.scalars(facts(spark, d), ("student",), shares)
 
 
 @query("a1_counts", f"WITH {FACTS} SELECT student, count(*) FILTER (WHERE ok) AS tokens_scored, count(*) FILTER (WHERE NOT ok) AS tokens_dropped_nonfinite FROM facts GROUP BY student")
@@ -32,7 +32,7 @@ def a2(spark, d):
 
 @query("a3_quantiles", f"WITH {FACTS} SELECT student, round(quantile_cont(k, 0.5), 7) AS p50, round(quantile_cont(k, 0.95), 7) AS p95, round(quantile_cont(k, 0.99), 7) AS p99, round(quantile_cont(k, 0.999), 7) AS p999 FROM facts WHERE ok GROUP BY student")
 def a3(spark, d):
-    return _scalars(spark, d).select("student", *[r8(c, 7).alias(c) for c in ("p50", "p95", "p99", "p999")])
+    return _scalars(spark, d, **aggregate.SHARES).select("student", *[r8(c, 7).alias(c) for c in ("p50", "p95", "p99", "p999")])
 
 
 @query("a4_clustered_se", f"WITH {FACTS} SELECT student, round(se, 8) AS se, g AS clusters, n FROM ({_SE.format(v='k', ok='ok')})")
