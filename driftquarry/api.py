@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftquarry.functions import kernel, text
+from driftquarry.functions import arrow_kernel, kernel, text
 from driftquarry.operators import aggregate, score
 from driftquarry.sources import files
 
@@ -124,7 +124,7 @@ def ensure_teacher_cache(logits: DataFrame, protocol: Protocol, root: str, ident
                 now = datetime.now(UTC).isoformat()
                 found = {"format_version": 1, "teacher_path": identity, "dataset": used.corpus, "num_samples": used.num_samples, "max_seq_len": used.max_seq_len, "seed": used.seed, "top_k": used.top_k, "vocab_size": vocab, "tokenizer_hash": tokenizer_hash, "created_at": now, "last_used": now}
                 try:
-                    files.write_entry(kernel.teacher_topk(logits, used.top_k), root, key, found)
+                    files.write_entry(arrow_kernel.teacher_topk(logits, used.top_k), root, key, found)
                 except BaseException:
                     shutil.rmtree(Path(root) / key, ignore_errors=True)
                     raise

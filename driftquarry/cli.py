@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftquarry.api import DriftError, Protocol, build_record, ensure_teacher_cache, entry_lock, identity, manifest, record_path
-from driftquarry.functions import kernel, text
+from driftquarry.functions import arrow_kernel, kernel, text
 from driftquarry.operators import cache_admin, records, render, sweep
 from driftquarry.operators.score import score_student
 from driftquarry.sources import files
@@ -88,8 +88,8 @@ def _self_test(spark: SparkSession) -> str:
     logits = spark.createDataFrame(rows, shape)
     even = spark.createDataFrame([(0, 0, 0, True, [0.0] * 32)], shape)
     errors = [r["mean_floor"] for r in sweep.floor_sweep(logits, [4, 8, 16, 24], 32).orderBy("k").collect()]
-    same = score_student(kernel.teacher_topk(logits, 8), logits.select("seq_id", "pos", "logits")).select(F.max(F.abs(F.col("kld") - F.col("floor_kld")))).first()[0]
-    checks = {"even": abs(kernel.teacher_topk(even, 8, rounded=False).first()["floor_kld"]) < 1e-9, "same": same < 1e-9, "monotone": all(a >= b - 1e-3 for a, b in zip(errors, errors[1:]))}
+    same = score_student(arrow_kernel.teacher_topk(logits, 8), logits.select("seq_id", "pos", "logits")).select(F.max(F.abs(F.col("kld") - F.col("floor_kld")))).first()[0]
+    checks = {"even": abs(arrow_kernel.teacher_topk(even, 8, rounded=False).first()["floor_kld"]) < 1e-9, "same": same < 1e-9, "monotone": all(a >= b - 1e-3 for a, b in zip(errors, errors[1:]))}
     failed = [k for k, ok in checks.items() if not ok]
     if failed:
         raise DriftError(f"self-test failed: {', '.join(failed)}")

@@ -1,4 +1,6 @@
-"""Column expressions of the divergence kernel: one row is one position, with logits as an array.
+"""Column expressions of the divergence kernel, for SQL plans: one row is one position, with logits as an array.
+
+`arrow_kernel` has the same in numpy, which is what scoring runs.
 
 All sums run in double precision inside the JVM. Every quantity that a lambda refers to (the maximum, the
 log-sum-exp) is carried as an output column, so that the optimizer doesn't inline an O(V) expression into a
@@ -7,10 +9,7 @@ loop over V. Ties in any ranking of logits go to the lower id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,16 +72,6 @@ def tail_logp(head: Column, vocab: Column, k: Column) -> Column:
     return log1mexp(F.least(head, F.lit(HEAD_CAP))) - F.log((vocab - k).cast("double"))
 
 
-def teacher_topk(df: DataFrame, k: int, rounded: bool = True) -> DataFrame:
-    """Replaces `logits` by the stored form: topk_idx, topk_logp (ranked before rounding), floor_kld. K is clamped to V - 1."""
-    lse = with_lse(df)
-    size = F.size("logits")
-    top = lse.withColumn("top_", ranked("logits", clamp_k(k, size)))
-    value = (lambda s: bf16(-s["n"] - F.col("lse"))) if rounded else (lambda s: -s["n"] - F.col("lse"))
-    stored = top.withColumn("topk_idx", F.transform("top_", lambda s: s["i"])).withColumn("topk_logp", F.transform("top_", value)).drop("top_")
-    return with_kld(stored, "floor_kld").drop("lse", "logits")
-
-
 def with_kld(df: DataFrame, out: str = "kld") -> DataFrame:
     """Adds the divergence of `logits` (with `lse`) from the stored head (`topk_idx`, `topk_logp`) with an even tail.
 
@@ -132,30 +121,3 @@ def align_vocab(df: DataFrame, vocab: int, logits: str = "logits") -> DataFrame:
     cut = F.when(size < vocab, F.raise_error(F.concat(F.lit("student logits are narrower than the teacher's vocabulary: "), size.cast("string"))).cast("array<double>")).otherwise(F.slice(logits, 1, vocab))
     head = with_lse(wide.withColumn(logits, cut), logits, "kept_")
     return head.withColumn("pad_mass", F.when(F.col("full_") == F.col("kept_"), 0.0).otherwise(1 - F.exp(F.col("kept_") - F.col("full_")))).drop("full_", "kept_")
-
-
-def score_batches(vocab: int) -> "callable":
-    """The same kernel in numpy over Arrow batches, for vocabularies too large for interpreted lambdas: input (seq_id, pos, topk_idx, topk_logp, logits), output (seq_id, pos, kld, top1, top5)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.asarray(batch.column("logits").flatten(), dtype=np.float64).reshape(n, vocab)
-            idx = np.asarray(batch.column("topk_idx").flatten()).reshape(n, -1)
-            lp = np.asarray(batch.column("topk_logp").flatten(), dtype=np.float64).reshape(n, -1)
-            k = idx.shape[1]
-            m = x.max(1, keepdims=True)
-            lse = (m + np.log(np.exp(x - m).sum(1, keepdims=True)))[:, 0]
-            lq = np.take_along_axis(x, idx, 1) - lse[:, None]
-            head = np.minimum(np.log(np.exp(lp).sum(1)), HEAD_CAP)
-            tail = np.where(head > -np.log(2), np.log(-np.expm1(head)), np.log1p(-np.exp(head))) - np.log(vocab - k)
-            kld = (np.exp(lp) * (lp - lq)).sum(1) + np.exp(tail) * ((vocab - k) * tail - (x.sum(1) - vocab * lse - lq.sum(1)))
-            best = x.argmax(1)
-            # The teacher's first id is among the top five if fewer than five ids rank before it.
-            mine = np.take_along_axis(x, idx[:, :1], 1)
-            ahead = (x > mine).sum(1) + ((x == mine) & (np.arange(vocab) < idx[:, :1])).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), batch.column("pos"), pa.array(kld), pa.array(best == idx[:, 0]), pa.array(ahead < 5)], names=["seq_id", "pos", "kld", "top1", "top5"])
-
-    return run

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftquarry.functions import kernel
+from driftquarry.functions import arrow_kernel
 
 
 def score_student(teacher: DataFrame, students: DataFrame, window: tuple[int, int] | None = None, keys: tuple[str, ...] = ("seq_id", "pos")) -> DataFrame:
@@ -22,12 +22,9 @@ def score_student(teacher: DataFrame, students: DataFrame, window: tuple[int, in
     if window:
         inside = (F.col("pos") >= window[0]) & (F.col("pos") < window[1])
         ahead, students = ahead.where(inside), students.where(inside)
-    joined = kernel.with_lse(ahead.where("attn").join(students, list(keys)))
-    scored = kernel.with_kld(joined)
-    first = F.element_at("topk_idx", 1)
-    facts = scored.withColumn("top1", kernel.argmax("logits") == first).withColumn("top5", F.array_contains(kernel.top_ids("logits", 5), first))
-    facts = facts.withColumn("delta_p", kernel.delta_p(F.when(F.col("next_attn"), F.col("next_token"))))
+    joined = ahead.where("attn").join(students, list(keys))
     named = [c for c in students.columns if c not in (*keys, "logits")]
+    facts = arrow_kernel.scored(joined.withColumn("next_token", F.when(F.col("next_attn"), F.col("next_token"))), [*named, *keys, "floor_kld"])
     return facts.select(*named, *keys, "kld", "top1", "top5", "delta_p", "floor_kld")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftquarry.functions import kernel
+from driftquarry.functions import arrow_kernel
 
 
 def usable_k(ks: list[int], vocab: int) -> list[int]:
@@ -19,11 +19,11 @@ def floor_sweep(logits: DataFrame, ks: list[int], vocab: int, window: tuple[int,
     The mean is over all positions, finite or not, as one bad position should show. Ties go to the smaller K.
     """
     rows = logits.where((F.col("pos") >= window[0]) & (F.col("pos") < window[1])) if window else logits
-    once = kernel.with_lse(rows).withColumn("rank_", kernel.ranked("logits", vocab - 1))
-    each = once.withColumn("k", F.explode(F.array(*[F.lit(k) for k in usable_k(ks, vocab)])))
-    head = each.withColumn("topk_idx", F.transform(F.slice("rank_", 1, F.col("k")), lambda s: s["i"])).withColumn("topk_logp", F.transform(F.slice("rank_", 1, F.col("k")), lambda s: kernel.bf16(-s["n"] - F.col("lse"))))
-    floors = kernel.with_kld(head, "floor").withColumn("floor", F.greatest("floor", F.lit(0.0)))
-    stats = floors.groupBy("k").agg((F.sum("floor") / F.count("*")).alias("mean_floor"), F.max("floor").alias("max_floor"), F.count("*").alias("n"))
+    used = usable_k(ks, vocab)
+    if not used:
+        raise ValueError(f"no K lies between 0 and the vocabulary's size of {vocab}")
+    sums = arrow_kernel.floor_sums(rows, used)
+    stats = sums.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("mean_floor"), F.max("most").alias("max_floor"), F.sum("n").alias("n"))
     placed = stats.withColumn("place", F.row_number().over(W.orderBy("mean_floor", "k")))
     best = F.max(F.when(F.col("place") == 1, F.col("k"))).over(W.partitionBy())
     return placed.withColumn("is_lowest", F.col("place") == 1).withColumn("rises_again", F.col("k") > best)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftquarry.functions import kernel
+from driftquarry.functions import arrow_kernel, kernel
 from driftquarry.operators import aggregate, score, sweep
+from driftquarry.sources import shared
 
 from .base import inline, kernel_sql, logits, query, r8
 
@@ -16,11 +19,11 @@ BITS = (2, 3, 4, 5, 6, 8)
 
 def _students(spark, d, bits=BITS):
     base = logits(spark, d).select("vec_id", "seq_id", "pos", "logits").withColumn("bits", F.explode(F.array(*[F.lit(b) for b in bits])))
-    return base.withColumn("logits", kernel.quantised("logits", F.col("bits")))
+    return base.withColumn("logits", kernel.quantised("logits", F.col("bits")))  # a stand-in: real students bring their logits
 
 
 def _facts(spark, d, bits=BITS, k=K, window=None):
-    teacher = kernel.teacher_topk(logits(spark, d), k).select("seq_id", "pos", "token_id", "attn", "topk_idx", "topk_logp", "floor_kld")
+    teacher = arrow_kernel.teacher_topk(logits(spark, d), k).select("seq_id", "pos", "token_id", "attn", "topk_idx", "topk_logp", "floor_kld")
     return score.score_student(teacher, _students(spark, d, bits).drop("vec_id"), window)
 
 
@@ -56,7 +59,7 @@ def t2(spark, d):
 
 @query("k5_bf16_round", f"WITH {kernel_sql(8)} SELECT vec_id, r::INT AS place, lp FROM tk")
 def k5(spark, d):
-    top = kernel.teacher_topk(logits(spark, d), 8)
+    top = arrow_kernel.teacher_topk(logits(spark, d), 8)
     return top.select("vec_id", F.posexplode("topk_logp").alias("p", "lp")).select("vec_id", (F.col("p") + 1).alias("place"), "lp")
 
 
@@ -78,14 +81,53 @@ def k7(spark, d):
 @query("k7_kld_arrow", _SCORED.format("round(kld, 8) + 0.0 AS kld, top1, top5"))
 def k7_arrow(spark, d):
     """The numpy kernel over Arrow batches gives what the expressions give."""
-    teacher = kernel.teacher_topk(logits(spark, d), K).where("attn").select("seq_id", "pos", "topk_idx", "topk_logp")
-    joined = teacher.join(_students(spark, d).drop("vec_id"), ["seq_id", "pos"])
-    out = None
-    for b in BITS:
-        part = joined.where(F.col("bits") == b).select("seq_id", "pos", "topk_idx", "topk_logp", "logits")
-        scored = part.mapInArrow(kernel.score_batches(64), "seq_id long, pos long, kld double, top1 boolean, top5 boolean").withColumn("bits", F.lit(b))
-        out = scored if out is None else out.unionByName(scored)
-    return out.select("bits", "seq_id", "pos", r8("kld").alias("kld"), "top1", "top5")
+    teacher = arrow_kernel.teacher_topk(logits(spark, d), K).where("attn").select("seq_id", "pos", "topk_idx", "topk_logp")
+    joined = teacher.join(_students(spark, d).drop("vec_id"), ["seq_id", "pos"]).withColumn("next_token", F.lit(None).cast("int"))
+    return arrow_kernel.scored(joined, ["bits", "seq_id", "pos"]).select("bits", "seq_id", "pos", r8("kld").alias("kld"), "top1", "top5")
+
+
+@query("k7_kld_expressions", _SCORED.format("round(kld, 8) + 0.0 AS kld"))
+def k7_expressions(spark, d):
+    """The same as column expressions, for SQL plans."""
+    teacher = arrow_kernel.teacher_topk(logits(spark, d), K).where("attn").select("seq_id", "pos", "topk_idx", "topk_logp")
+    joined = kernel.with_lse(teacher.join(_students(spark, d).drop("vec_id"), ["seq_id", "pos"]))
+    return kernel.with_kld(joined).select("bits", "seq_id", "pos", r8("kld").alias("kld"))
+
+
+WIDE = 32_768
+
+
+def _wide(spark, d, bits):
+    """Logits of a vocabulary of 32,768: a row's values over and over, each time lower; with bits, rounded to that many levels of its range."""
+
+    def run(batches):
+        fall = np.repeat(np.arange(WIDE // 64) * 0.02, 64)
+        for batch in batches:
+            x = np.asarray(batch.column("logits").flatten()).reshape(-1, 64)
+            for start in range(0, len(x), 16):
+                part = batch.slice(start, 16)
+                wide = np.tile(x[start : start + 16], WIDE // 64) - fall
+                if bits:
+                    low, step = wide.min(1, keepdims=True), (wide.max(1, keepdims=True) - wide.min(1, keepdims=True)) / (2**bits - 1)
+                    wide = low + np.floor((wide - low) / step + 0.5) * step
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * WIDE), pa.array(wide.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("seq_id", "pos", "token_id", "attn")], flat], names=["seq_id", "pos", "token_id", "attn", "logits"])
+
+    arrow_kernel.bound_batches(spark)
+    return logits(spark, d).select("seq_id", "pos", "token_id", "attn", "logits").mapInArrow(run, "seq_id long, pos long, token_id int, attn boolean, logits array<double>")
+
+
+@query("k7_kld_wide")
+def k7_wide(spark, d):
+    """Scoring at a vocabulary of 32,768 with heads of 4,096."""
+    teacher = arrow_kernel.teacher_topk(_wide(spark, d, 0), 4096)
+    return score.score_student(teacher, _wide(spark, d, 8).drop("token_id", "attn")).select("seq_id", "pos", r8("kld", 6).alias("kld"), "top1", "top5", r8("floor_kld", 6).alias("floor_kld"))
+
+
+@query("a13_sweep_wide")
+def a13_wide(spark, d):
+    """Floors for six K at a vocabulary of 32,768."""
+    return sweep.floor_sweep(_wide(spark, d, 0), [64, 512, 2048, 8192, 16384, 32767], WIDE, (5, 10)).select("k", r8("mean_floor", 7).alias("mean_floor"), r8("max_floor", 7).alias("max_floor"), "n", "place")
 
 
 @query("k8_top1", f"WITH {kernel_sql(K, BITS)} SELECT bits, vec_id, i::INT AS top1 FROM sm WHERE r = 1")
@@ -117,7 +159,7 @@ def k11(spark, d):
 
 @query("j3_next_token_tail", _DELTA + " SELECT bits, in_head, count(*) AS n, round(avg(dp), 8) + 0.0 AS mean_dp FROM d WHERE na GROUP BY ALL")
 def j3(spark, d):
-    teacher = kernel.teacher_topk(logits(spark, d), K).select("seq_id", "pos", "token_id", "attn", "topk_idx", "topk_logp", "floor_kld")
+    teacher = arrow_kernel.teacher_topk(logits(spark, d), K).select("seq_id", "pos", "token_id", "attn", "topk_idx", "topk_logp", "floor_kld")
     ahead = teacher.withColumn("nt", F.lead("token_id").over(W.partitionBy("seq_id").orderBy("pos"))).select("seq_id", "pos", F.array_contains("topk_idx", F.col("nt")).alias("in_head"))
     return _facts(spark, d).where("delta_p IS NOT NULL").join(ahead, ["seq_id", "pos"]).groupBy("bits", "in_head").agg(F.count("*").alias("n"), r8(F.avg("delta_p")).alias("mean_dp"))
 
@@ -129,12 +171,12 @@ def pf5(spark, d):
 
 @query("k12_floor", f"WITH {kernel_sql(K)} SELECT vec_id, round(kld, 8) + 0.0 AS floor_kld FROM s")
 def k12(spark, d):
-    return kernel.teacher_topk(logits(spark, d), K).select("vec_id", r8("floor_kld").alias("floor_kld"))
+    return arrow_kernel.teacher_topk(logits(spark, d), K).select("vec_id", r8("floor_kld").alias("floor_kld"))
 
 
 @query("k13_tail_logp", f"WITH {kernel_sql(60)} SELECT vec_id, round(lp_tail, 4) AS tail FROM h2")
 def k13(spark, d):
-    top = kernel.teacher_topk(logits(spark, d), 60)
+    top = arrow_kernel.teacher_topk(logits(spark, d), 60)
     head = F.log(F.aggregate("topk_logp", F.lit(0.0), lambda s, x: s + F.exp(x)))
     return top.select("vec_id", r8(kernel.tail_logp(head, F.lit(64), F.lit(60)), 4).alias("tail"))
 
@@ -182,7 +224,7 @@ def pf17(spark, d):
 
 @query("pf18_clamp", "SELECT k, least(k, 63)::INT AS used FROM (VALUES (1), (63), (64), (500)) t(k)")
 def pf18(spark, d):
-    v = logits(spark, d).select(F.size("logits").alias("v")).limit(1)
+    v = logits(spark, d).agg(F.min(F.size("logits")).alias("v"))
     return spark.sql("SELECT * FROM VALUES (1), (63), (64), (500) AS t(k)").crossJoin(v).select("k", kernel.clamp_k(F.col("k"), F.col("v")).alias("used"))
 
 
@@ -248,6 +290,7 @@ SELECT bits, tokens, round(mean, 8) AS mean, round(p99, 8) AS p99, round(top1, 8
 )
 def kld_by_student(spark, d):
     """Students of several bit widths against one teacher: divergence, agreement, floor, ranking."""
-    stats = aggregate.scalars(_facts(spark, d, window=(5, 10)), ("bits",))
+    scored = shared.checkpointed(_facts(spark, d, window=(5, 10)))  # several passes read it
+    stats = aggregate.scalars(scored, ("bits",), {"p99": 0.99})
     out = stats.withColumn("floor_limited", aggregate.floor_limited()).withColumn("place", F.row_number().over(W.orderBy("mean", "bits")))
     return out.select("bits", F.col("tokens_scored").alias("tokens"), r8("mean").alias("mean"), r8("p99").alias("p99"), r8("top1").alias("top1"), r8("floor_mean").alias("floor_mean"), "floor_limited", "place")

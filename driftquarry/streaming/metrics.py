@@ -7,22 +7,17 @@ merged from partial sums, exact quantiles could not.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftquarry.sources import shared
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or in local mode under the temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.gettempdir()
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return shared.scratch(spark, "stream")
 
 
 def accumulate(stream: DataFrame, facts: str, checkpoint: str, alarm: Callable[[int, float], None] | None = None, threshold: float = 1e-4) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftquarry import api, cli
-from driftquarry.functions import kernel, text
+from driftquarry.functions import arrow_kernel, kernel, text
 from driftquarry.operators import aggregate, cache_admin, measure, render, score, sweep
 from driftquarry.sources import corpus, files
 
@@ -28,7 +28,7 @@ def circular(spark, shift=0, n=5, length=8):
 
 
 def scored(spark, shift=0, window=(4, 8)):
-    teacher = kernel.teacher_topk(circular(spark), K)
+    teacher = arrow_kernel.teacher_topk(circular(spark), K)
     student = circular(spark, shift).select("seq_id", "pos", "logits")
     return score.score_student(teacher, student, window)
 
@@ -71,12 +71,12 @@ def test_partitions_do_not_matter(spark):
 
 def test_uniform_is_zero(spark):
     flat = spark.createDataFrame([(0, 0, 1, True, [0.0] * 1024)], "seq_id int, pos int, token_id int, attn boolean, logits array<double>")
-    top = kernel.teacher_topk(flat, 16, rounded=False).first()
+    top = arrow_kernel.teacher_topk(flat, 16, rounded=False).first()
     assert abs(top["floor_kld"]) < 1e-4 and top["topk_idx"] == list(range(16))
 
 
 def test_head_as_large_as_the_vocabulary(spark):
-    assert len(kernel.teacher_topk(circular(spark), V).first()["topk_idx"]) == V - 1
+    assert len(arrow_kernel.teacher_topk(circular(spark), V).first()["topk_idx"]) == V - 1
     whole = kernel.with_lse(circular(spark)).withColumn("topk_idx", kernel.top_ids("logits", V)).withColumn("topk_logp", F.transform("topk_idx", lambda i: F.lit(-1.0)))
     with pytest.raises(Exception, match="smaller than the vocabulary"):
         kernel.with_kld(whole).collect()
