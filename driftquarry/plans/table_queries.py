@@ -88,7 +88,7 @@ def pf32(spark, d):
     return inline(spark, "(VALUES ('0123456789abcdef0123456789ABCDEF01234567'), ('0123'), ('main'), ('z123456789abcdef0123456789abcdef01234567')) AS t(s)").select("s", text.is_commit_sha("s").alias("sha"))
 
 
-@query("f6_xml_escape", "SELECT page_id, replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM pages")
+@query("f6_xml_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM pages")
 def f6(spark, d):
     return table(spark, d, "pages").select("page_id", text.xml_escape("html").alias("x"))
 
@@ -169,9 +169,9 @@ def j5(spark, d):
     return _modules(spark).select("model", "base", "weight_dtype", F.col("scales_shape").isNotNull().alias("quantized"), "total_bytes")
 
 
-@query("j6_override", f"WITH {_MODULES} SELECT model, base, n_params FROM par WHERE model = 'm3'")
+@query("j6_override", f"WITH {_MODULES} SELECT model, base, n_params FROM par")
 def j6(spark, d):
-    return _measured(spark).where("model = 'm3'").select("model", "base", "n_params")
+    return _measured(spark).select("model", "base", "n_params")
 
 
 @query("k17_affine_params", f"WITH {_MODULES} SELECT model, base, n_params, scored FROM par")
@@ -293,7 +293,7 @@ def f10(spark, d):
     return _chats(spark, d).select("conv_id", corpus.render_chat("messages", _template).alias("rendered"))
 
 
-@query("pf2_chat_nonblank", "SELECT conv_id AS row_idx, length(string_agg('<' || role || '>' || text || chr(10), '' ORDER BY turn))::INT AS n FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id")
+@query("pf2_chat_nonblank", "SELECT conv_id AS row_idx, length(string_agg('<' || role || '>' || text || chr(10), '' ORDER BY turn))::INT AS n FROM conversations GROUP BY conv_id")
 def pf2(spark, d):
     return corpus.corpus_texts(_chats(spark, d), "conv_id", _template).select("row_idx", F.length("text").alias("n"))
 
@@ -301,7 +301,7 @@ def pf2(spark, d):
 _WORDS = "SELECT doc_id AS row_idx, regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM documents"
 
 
-@query("f11_tokenize", f"SELECT row_idx, len(tokens)::INT AS n, array_to_string(tokens[1:3], ' ') AS head FROM ({_WORDS})")
+@query("f11_tokenize", f"SELECT row_idx, len(tokens)::INT AS n, array_to_string(tokens, ' ') AS tokens FROM ({_WORDS})")
 def f11(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), corpus.words("text").alias("t")).select("row_idx", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
 
@@ -332,13 +332,29 @@ def w2(spark, d):
     return corpus.chunks(corpus.with_offsets(_counted(spark, d), "n"), 64).select("chunk", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("j9_seeded_sample")
+def _sample_sql(tokens: str, last: str) -> str:
+    """The sample of 16 chunks of 64: the seeded permutations are given for every number of chunks that a head can have."""
+    orders = ", ".join(f"({n}, {i}, {c})" for n in range(33, 700) for i, c in enumerate(corpus.sample_order(n, 16, 123)))
+    return f"""WITH t AS (SELECT doc_id, {tokens} AS t FROM documents WHERE regexp_matches(text, '\\S')),
+o AS (SELECT *, coalesce(sum(len(t)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+h AS (SELECT * FROM o WHERE before < 2176),
+f AS (SELECT before + unnest(range(0, len(t))) AS place, unnest(t) AS x FROM h),
+c AS (SELECT (place // 64)::BIGINT AS chunk, list(x ORDER BY place) AS x FROM f GROUP BY ALL),
+p AS (SELECT seq_id, chunk FROM (VALUES {orders}) v(n, seq_id, chunk) WHERE n = (SELECT count(*) // 64 FROM f)),
+s AS (SELECT p.seq_id::INT AS seq_id, x FROM p JOIN c USING (chunk))
+{last}"""
+
+
+@query("j9_seeded_sample", _sample_sql("regexp_extract_all(lower(text), '[a-z]+')", "SELECT seq_id, array_to_string(x, ' ') AS tokens FROM s"))
 def j9(spark, d):
     rows = corpus.corpus_texts(table(spark, d, "documents"), "doc_id")
     return corpus.calibration_chunks(rows, corpus.words, 16, 64, 123).select("seq_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("f14_stream_hash")
+@query(
+    "f14_stream_hash",
+    _sample_sql("list_transform(string_split(text, ''), lambda c: unicode(c) % 4096)", "SELECT left(sha256(unhex(string_agg(printf('%02x%02x0000', v % 256, v // 256), '' ORDER BY seq_id, i))), 16) AS stream_hash FROM (SELECT seq_id, unnest(x) AS v, unnest(range(0, len(x))) AS i FROM s)"),
+)
 def f14(spark, d):
     rows = corpus.corpus_texts(table(spark, d, "documents"), "doc_id")
     return spark.createDataFrame([(corpus.stream_hash(corpus.calibration_chunks(rows, corpus.code_points, 16, 64, 123)),)], "stream_hash string")
