@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import shutil
 import sys
 import time
 from datetime import UTC, datetime, timedelta
@@ -13,31 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftquarry.api import DriftError, Protocol, build_record, ensure_teacher_cache, entry_lock, identity, manifest, record_path
+from driftquarry.api import Protocol, build_record, checked_tokenizers, drop_entries, ensure_teacher_cache, entries, identity, record_path, scored_facts
+from driftquarry.errors import DriftError
 from driftquarry.functions import arrow_kernel, kernel, text
 from driftquarry.operators import cache_admin, records, render, sweep
 from driftquarry.operators.score import score_student
+from driftquarry.operators.students import measured, recipe, unmeasured
 from driftquarry.sources import files
 
 
-def _entries(spark: SparkSession, root: str) -> DataFrame:
-    rows = []
-    for path in sorted(Path(root).glob("*/manifest.json")):
-        found = manifest(root, path.parent.name)
-        if found is not None:
-            with entry_lock(root, path.parent.name, exclusive=True, blocking=False) as held:
-                size = sum(p.stat().st_size for p in path.parent.rglob("*") if p.is_file())
-                rows.append((path.parent.name, size, found.get("last_used"), found.get("created_at"), datetime.fromtimestamp(path.stat().st_mtime, UTC).strftime("%Y-%m-%d %H:%M:%S"), found.get("teacher_path"), found.get("top_k"), not held))
-    schema = "key string, size_bytes long, last_used string, created_at string, modified string, teacher_path string, top_k int, locked boolean"
-    return spark.createDataFrame(rows, schema).withColumn("last_used", cache_admin.used_at("last_used", "created_at", "modified")).drop("created_at", "modified")
-
-
-def _drop(root: str, keys: list[str]) -> None:
-    for key in keys:
-        with entry_lock(root, key, exclusive=True, blocking=False) as held:
-            if held:
-                shutil.rmtree(Path(root) / key)
-                print(f"removed {key}")
+def _removed(root: str, which: DataFrame) -> str:
+    return "".join(f"removed {key}\n" for key in drop_entries(root, [r[0] for r in which.select("key").collect()]))
 
 
 def _teacher(ranked: DataFrame, part: str | None) -> str:
@@ -65,18 +50,23 @@ def _score(spark: SparkSession, args: argparse.Namespace) -> str:
     began = time.time()
     protocol = Protocol(args.corpus, args.num_samples, args.max_seq_len, args.seed, args.top_k, Protocol.window(args.window) if args.window else None)
     teacher = _doubles(spark.read.parquet(args.teacher_logits))
-    key, found, status = ensure_teacher_cache(teacher, protocol, args.cache, identity(args.teacher), rebuild=args.rebuild)
+    warn = lambda message: print(f"warning: {message}", file=sys.stderr)
+    key, found, status = ensure_teacher_cache(teacher, protocol, args.cache, identity(args.teacher), rebuild=args.rebuild, budget=int(args.cache_max_gb * 1e9) if args.cache_max_gb else None, say=warn)
     protocol = protocol.clamped(found["vocab_size"])
     students = kernel.align_vocab(_doubles(spark.read.parquet(args.student_logits)), found["vocab_size"]).select("seq_id", "pos", "logits", "pad_mass")
     worst = students.agg(F.max("pad_mass")).first()[0] or 0.0
     if not worst <= 1e-4:
-        print(f"warning: padded ids hold up to {worst:.2%} of the student's probability", file=sys.stderr)
-    facts = score_student(files.read_entry(spark, args.cache, key), students.drop("pad_mass"), protocol.score_window).cache()
-    tokenizer = {"mode": "given", "identical": True, "encoding_parity": True, "forced": False, "diffs": []}
-    student = {"path": args.student, "format": "mlx", "size_bytes": None, "effective_bpw": None, "n_params": None, "quantization": {"kind": "none"}}
-    made = build_record(facts, protocol, {"path": args.teacher}, student, tokenizer, round(time.time() - began, 3))
+        warn(f"padded ids hold up to {worst:.2%} of the student's probability")
+    facts = scored_facts(spark, args.cache, key, students.drop("pad_mass"), protocol)
+    weights = args.weights or args.student
+    student = measured(spark, weights) | {"path": args.student} if Path(weights).exists() else unmeasured(args.student)
+    made = build_record(facts, protocol, {"path": args.teacher, "tokenizer_hash": found.get("tokenizer_hash")}, student, checked_tokenizers(None, None, "given"), round(time.time() - began, 3), None, found.get("corpus_tokens_hash"), recipe(spark, weights) if Path(weights).is_dir() else None)
     path = record_path(spark, args.out_dir, args.teacher, args.student, protocol, "given")
     files.write_json(path, made)
+    if args.report:
+        files.write_text(args.report, render.report(spark, made))
+    if args.card:
+        files.write_text(args.card, render.card(spark, made))
     mean = "n/a" if made["kld"]["mean"] is None else f"{made['kld']['mean']:.4f}"
     return f"{status} {key}: {made['tokens_scored']} tokens, mean KLD {mean}, {path}\n"
 
@@ -125,6 +115,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--seed", type=int, default=123)
     p.add_argument("--window")
     p.add_argument("--rebuild", action="store_true")
+    for name in ("weights", "report", "card"):
+        p.add_argument(f"--{name}")
+    p.add_argument("--cache-max-gb", type=float)
     sub.add_parser("self-test")
     args = parser.parse_args(argv)
     if not args.command:
@@ -143,21 +136,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             floor = ranked.where((F.col("teacher") == name) & (F.col("floor_mean") > 0)).select(F.min_by("floor_mean", "load_order")).first()[0]
             out = render.svg(render.plot_points(ranked, name, args.x), "bits per weight" if args.x == "bpw" else "size (GB)", floor)
         elif args.command == "cache":
-            entries = _entries(spark, args.root)
+            found = entries(spark, args.root)
             if args.teacher:
-                entries = entries.where(F.contains("teacher_path", F.lit(args.teacher)))
+                found = found.where(F.contains("teacher_path", F.lit(args.teacher)))
             if args.action == "list":
-                out = "".join(f"{r['key']}  {r['size']}  {r['last_used']}\n" for r in entries.orderBy(F.desc("last_used")).select("key", text.human_bytes("size_bytes").alias("size"), "last_used").collect())
+                out = "".join(f"{r['key']}  {r['size']}  {r['last_used']}\n" for r in found.orderBy(F.desc("last_used")).select("key", text.human_bytes("size_bytes").alias("size"), "last_used").collect())
             elif args.action == "gc":
                 oldest = F.lit(datetime.now(UTC) - timedelta(days=args.older_than)) if args.older_than is not None else None
-                plan = cache_admin.collect_garbage(entries, int(args.max_gb * 1e9) if args.max_gb is not None else None, oldest)
-                _drop(args.root, [r[0] for r in plan.where("reason IS NOT NULL").select("key").collect()])
-                out = ""
+                plan = cache_admin.collect_garbage(found, int(args.max_gb * 1e9) if args.max_gb is not None else None, oldest)
+                out = _removed(args.root, plan.where("reason IS NOT NULL"))
             else:
                 if not args.teacher and not args.yes:
                     raise DriftError("clearing everything needs --yes")
-                _drop(args.root, [r[0] for r in entries.where("NOT locked").select("key").collect()])
-                out = ""
+                out = _removed(args.root, found.where("NOT locked"))
         elif args.command == "score":
             out = _score(spark, args)
         elif args.command == "self-test":

@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-for _name in ("kernel_queries", "stat_queries", "table_queries", "stream_queries"):
+for _name in ("kernel_queries", "stat_queries", "table_queries", "stream_queries", "file_queries"):
     importlib.import_module(f"{__package__}.{_name}")
 
 

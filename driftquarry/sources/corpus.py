@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftquarry.errors import CorpusError
 from driftquarry.functions import text
 
 
-class CorpusError(ValueError):
-    """A corpus lacks a usable column or is too small."""
-
-
 def read_corpus(spark: SparkSession, spec: str, fmt: str = "parquet") -> DataFrame:
     """Rows of path[:subset]; a subset is a folder of the path."""
     path, subset = spark.range(1).select(text.split_spec(F.lit(spec)).alias("s")).select("s.*").first()

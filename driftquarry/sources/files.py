@@ -146,10 +146,18 @@ def write_json(path: str | Path, value: object) -> None:
     write_text(path, json.dumps(value, indent=2) + "\n")
 
 
-def write_entry(teacher: DataFrame, root: str, key: str, manifest: dict) -> None:
-    """A cache entry: shards as Parquet by key, then, once they are all there, the manifest that makes the entry valid."""
+def entry_parts(root: str, key: str) -> list[int]:
+    """Numbers of the shards that an entry has."""
+    return sorted(int(p.name.split("-")[1]) for p in (Path(root) / key / "shards").glob("part-*.parquet"))
+
+
+def write_entry(teacher: DataFrame, root: str, key: str, manifest: dict) -> dict:
+    """A cache entry: shards as Parquet by key, then, once they are all there, the manifest that makes the entry valid, with the number of shards and, as it is known only then, the size."""
     teacher.write.mode("overwrite").parquet(f"{root}/{key}/shards")
+    shards = list((Path(root) / key / "shards").glob("part-*.parquet"))
+    manifest |= {"num_batches": len(shards), "shards": entry_parts(root, key), "size_bytes": sum(p.stat().st_size for p in shards)}
     write_json(Path(root) / key / "manifest.json", manifest)
+    return manifest
 
 
 def read_entry(spark: SparkSession, root: str, key: str, window: tuple[int, int] | None = None) -> DataFrame:
