@@ -20,7 +20,8 @@ pair. The steps:
 
 What comes out are classes: pairs are decided, counted and linked inside blocks, and a block gives a row for each
 of its documents, not for each pair. `near_classes` has a row for every document; `ngram_join` lists pairs of
-distinct sets for those who want them, and one row for each further copy. Nothing is capped.
+distinct sets for those who want them, and one row for each further copy. `drop_near` needs groups only, and gets them
+in two rounds without meeting all pairs of a group (`_groups_only`). Nothing is capped.
 
 Defined cases. Words are split at white space, lower-cased and freed of all but letters and digits. A text
 of fewer than n words has one n-gram of all its words; null texts and texts without words have none and
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import binaries, bound_batches, checkpointed, mix, n_buckets, small_or_shuffled, split_by, spread, text_slices, window_owner, windows, word_hashes
@@ -226,7 +227,7 @@ def _groups(cls: np.ndarray) -> np.ndarray:
 def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, pivots: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
     """Prefix entries by range of the order, or for n-grams that very many have by two groups of their documents, packed."""
     for batch in batches:
-        ids, size = np.asarray(batch.column("doc_id")), np.asarray(batch.column("size")).astype(np.int64)
+        ids, labels, size = (np.asarray(batch.column(c)).astype(np.int64) for c in ("doc_id", "label", "size"))
         grams, lengths = _joined(pa.chunked_array([batch.column("grams")]), np.uint64)
         # n-grams of no other document come first in the order; they take up part of the prefix.
         take = np.clip(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - lengths), 0, lengths)
@@ -253,7 +254,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, pivots: np.nd
         order, names, bounds = split_by(fragment, len(pivots) + 1 + hot)
         order = np.concatenate([o[np.argsort(owner[o], kind="stable")] for o in np.split(order, bounds[1:-1])]) if len(order) else order
         info = (size[owner] << 32 | side << 30 | place)[order]
-        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), binaries(g[order], bounds), *_runs(owner[order], bounds, ids), binaries(info, bounds)], names=["fragment", "grams", "ids", "counts", "info"])
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), binaries(g[order], bounds), *_runs(owner[order], bounds, ids), _runs(owner[order], bounds, labels)[0], binaries(info, bounds)], names=["fragment", "grams", "ids", "counts", "labels", "info"])
 
 
 def _runs(owner: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -265,36 +266,47 @@ def _runs(owner: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> tuple[pa.Ar
     return binaries(ids[owner[starts]], cuts), binaries(np.diff(np.append(starts, len(owner))).astype(np.uint32), cuts)
 
 
-def _pairs_of_runs(key: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j), i < j, of equal neighbours in a sorted array, some millions at a time."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    ends = np.append(starts[1:], len(key))
-    left = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1  # partners after each entry
+def _ends(*keys: np.ndarray) -> np.ndarray:
+    """For each entry of sorted arrays, where its run of equal keys ends."""
+    new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(np.concatenate([[True], new])) if len(keys[0]) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(keys[0]))
+    return np.repeat(ends, ends - starts)
+
+
+def _pairs_of_runs(key: np.ndarray, group: np.ndarray, star: bool, limit: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries of one key, some millions at a time: all whose groups differ, or with `star` the first of each key with all others. Arrays are sorted by key, then group."""
+    ends = _ends(key)
+    first = np.arange(len(key)) + 1 if star else _ends(key, group)
+    left = ends - first  # partners after each entry
+    if star:
+        left[np.flatnonzero(key[1:] == key[:-1]) + 1] = 0
     total, at = np.cumsum(left), 0
     while at < len(key):
         base = total[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
         n = left[at:stop]
         i = np.repeat(np.arange(at, stop), n)
-        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield i, first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         at = stop
 
 
-def _candidates(table: pa.Table, threshold: float) -> pa.Table:
-    """Of one range: pairs that share a prefix n-gram and whose sizes and places leave room for the overlap needed."""
+def _candidates(table: pa.Table, threshold: float, star: bool) -> pa.Table:
+    """Of one range: pairs of different labels (or stars, see `_pairs_of_runs`) that share a prefix n-gram and whose sizes and places leave room for the overlap needed."""
     gram, info = _joined(table.column("grams"), np.uint64)[0], _joined(table.column("info"), np.int64)[0]
-    doc = np.repeat(_joined(table.column("ids"), np.int64)[0], _joined(table.column("counts"), np.uint32)[0])
-    order = np.lexsort((doc, gram))
-    gram, doc, info = gram[order], doc[order], info[order]
+    counts = _joined(table.column("counts"), np.uint32)[0]
+    doc, label = (np.repeat(_joined(table.column(c), np.int64)[0], counts) for c in ("ids", "labels"))
+    order = np.lexsort((doc, label, gram))
+    gram, doc, label, info = gram[order], doc[order], label[order], info[order]
     size, side, place = info >> 32, info >> 30 & 3, info & 0x3FFFFFFF
     ids, doc = np.unique(doc, return_inverse=True)
     n = len(ids)
     # Pairs met are marked in a table of all pairs where that is small, else sorted.
     marked, found = np.zeros(n * n if n <= MARKED else 0, bool), np.zeros(0, np.int64)
-    for i, j in _pairs_of_runs(gram):
+    for i, j in _pairs_of_runs(gram, label, star):
         need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
         ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (doc[i] != doc[j]) & ((side[i] == 0) | (side[i] != side[j]))
-        key = doc[i[ok]] * n + doc[j[ok]]
+        key = np.minimum(doc[i[ok]], doc[j[ok]]) * n + np.maximum(doc[i[ok]], doc[j[ok]])
         if n <= MARKED:
             marked[key] = True
         else:
@@ -427,8 +439,8 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"row": ids[some], "links": links[some], "root": ids[root[some]]})
 
 
-def _near_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents that may have a partner (doc_id, sig, size), the first of each set of these (sig, size, row, rep, copies), and the blocks with the partial counts of candidate pairs of sets, which are named by `row`."""
+def _sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[int, int]]]:
+    """Documents that may have a partner (doc_id, sig, size), the first of each set of these (sig, size, row, rep, copies), the sets (doc_id, which is their row, size, copies, grams), and how many of their n-grams lie in each cell of the order."""
     bound_batches(docs.sparkSession)
     buckets = n_buckets(docs)
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(lambda it: _scatter(it, n=n, buckets=buckets), _PACKED)
@@ -438,15 +450,23 @@ def _near_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Da
     heads = one.groupBy("sig", "size").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("copies"))
     heads = checkpointed(heads.select("sig", "size", F.col("head.row").alias("row"), F.col("head.doc_id").alias("rep"), "copies"))
     reps = members.select("row", "size", "grams").join(small_or_shuffled(heads.select("row", "copies")), "row").withColumnRenamed("row", "doc_id")
-
     cells = sorted(map(tuple, reps.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()))
+    return members.select("doc_id", "sig", "size").distinct(), heads, reps, cells
+
+
+def _met(reps: DataFrame, cells: list[tuple[int, int]], threshold: float, star: bool = False, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of sets that may be near, of all, or of those whose labels (doc_id, label; one's own by default) differ, or stars."""
+    reps = reps.withColumn("label", F.col("doc_id")) if labels is None else reps.join(small_or_shuffled(labels), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     cold = [(cell, k) for cell, k in cells if _groups(np.array([cell >> 8]))[0] == 1]
     meets = sum(k * 2 ** ((cell >> 8) / 8) for cell, k in cells) - sum(k * 2 ** ((cell >> 8) / 8) for cell, k in cold)
     pivots, hot = _cuts(cold, MEETING, meetings=True), max(1, round(meets / MEETING))
-    prefixes = reps.mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=pivots, hot=hot), "fragment int, grams binary, ids binary, counts binary, info binary")
-    found = spread(prefixes, len(pivots) + 1 + hot, "fragment").groupBy("fragment").applyInArrow(lambda t: _candidates(t, threshold=threshold), "a long, b long")
-    candidates = checkpointed(found.distinct())
+    prefixes = reps.select("doc_id", "label", "size", "grams").mapInArrow(lambda it: _prefixes(it, threshold=threshold, pivots=pivots, hot=hot), "fragment int, grams binary, ids binary, counts binary, labels binary, info binary")
+    found = spread(prefixes, len(pivots) + 1 + hot, "fragment").groupBy("fragment").applyInArrow(lambda t: _candidates(t, threshold, star), "a long, b long")
+    return checkpointed(found.distinct())
 
+
+def _counted(reps: DataFrame, cells: list[tuple[int, int]], candidates: DataFrame) -> GroupedData:
+    """The blocks of pairs with the partial counts of all fragments."""
     total = sum(k for _, k in cells)
     blocks = max(1, -(-candidates.count() // BLOCK), -(-total // (FRAGMENTS * FRAGMENT)))
     placed = checkpointed(_blocks_of(candidates, blocks))
@@ -455,13 +475,13 @@ def _near_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Da
     segments = reps.join(small_or_shuffled(named), "doc_id").select("doc_id", "size", "copies", "block", "grams").mapInArrow(lambda it: _segments(it, pivots=cuts), _BLOCK)
     pairs = placed.mapInArrow(lambda it: _pairs_out(it, fragments=len(cuts) + 1), _BLOCK)
     parts = spread(segments.unionByName(pairs), (len(cuts) + 1) * blocks, "fragment", "block").groupBy("fragment", "block").applyInArrow(_partial, _PARTS)
-    return members.select("doc_id", "sig", "size").distinct(), heads, parts.groupBy("block")
+    return parts.groupBy("block")
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of distinct n-gram sets with a Jaccard index of `threshold` or more, by their representatives (the smallest ids), and every further document of a set with its representative."""
-    members, heads, blocks = _near_sets(docs, n, threshold)
-    near = blocks.applyInArrow(lambda t: _listed(t, threshold), "a long, b long, jaccard double")
+    members, heads, reps, cells = _sets(docs, n, threshold)
+    near = _counted(reps, cells, _met(reps, cells, threshold)).applyInArrow(lambda t: _listed(t, threshold), "a long, b long, jaccard double")
     for side in "ab":
         near = near.join(small_or_shuffled(heads.select(F.col("row").alias(side), F.col("rep").alias(f"doc_{side}"))), side)
     near = near.where("doc_a <> doc_b").groupBy(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
@@ -470,17 +490,47 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     return near.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def _classes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_id, class_id, links) of the documents that have a link."""
-    members, heads, blocks = _near_sets(docs, n, threshold)
-    linked = checkpointed(blocks.applyInArrow(lambda t: _linked(t, threshold), "row long, links long, root long"))
-    found = components(linked.select(F.col("row").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("row"), "root")
-    sets = heads.join(linked.groupBy("row").agg(F.sum("links").alias("links")), "row", "left").join(found, "row", "left")
-    sets = sets.select("sig", "size", "rep", F.coalesce("root", "row").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+_LINKED = "row long, links long, root long"
+
+
+def _named(members: DataFrame, heads: DataFrame, roots: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, class_id, links) of the documents that have a link, from roots of rows; links are those of copies alone where they weren't counted."""
+    sets = heads.join(roots, "row", "left")
+    sets = sets.join(links, "row", "left") if links is not None else sets.withColumn("links", F.lit(0).cast("long"))
+    sets = sets.select("sig", "size", "rep", F.coalesce("root", "row").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("root").isNotNull().alias("linked")).where("links > 0 OR linked")
     sets = checkpointed(sets)
     first = sets.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = sets.join(first, "root").select("sig", "size", "class_id", "links")
-    return members.join(small_or_shuffled(checkpointed(named)), ["sig", "size"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    named = checkpointed(sets.join(first, "root").select("sig", "size", "class_id", "links"))
+    return members.join(small_or_shuffled(named), ["sig", "size"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+
+
+def _roots(linked: DataFrame) -> DataFrame:
+    """(row, root) of all rows in a link, roots included."""
+    found = components(linked.select(F.col("row").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("row"), "root")
+    return found.unionByName(found.select(F.col("root").alias("row"), "root")).distinct()
+
+
+def _classes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_id, class_id, links) of the documents that have a link, every pair of different sets counted."""
+    members, heads, reps, cells = _sets(docs, n, threshold)
+    linked = checkpointed(_counted(reps, cells, _met(reps, cells, threshold)).applyInArrow(lambda t: _linked(t, threshold), _LINKED))
+    return _named(members, heads, _roots(linked), linked.groupBy("row").agg(F.sum("links").alias("links")))
+
+
+def _groups_only(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_id, class_id) of the documents that have a link, without meeting all pairs of a group.
+
+    First each n-gram's first set meets the others that have it; what is near by that forms groups. Then sets of
+    different groups that share an n-gram meet. Two sets at or above the threshold are in one group after the first
+    round or meet in the second, so the groups are exactly those of all pairs.
+    """
+    members, heads, reps, cells = _sets(docs, n, threshold)
+    stars = checkpointed(_counted(reps, cells, _met(reps, cells, threshold, star=True)).applyInArrow(lambda t: _linked(t, threshold), _LINKED))
+    roots = checkpointed(_roots(stars))
+    across = _met(reps, cells, threshold, labels=roots.select(F.col("row").alias("doc_id"), F.col("root").alias("label")))
+    rest = checkpointed(_counted(reps, cells, across).applyInArrow(lambda t: _linked(t, threshold), _LINKED))
+    edges = roots.unionByName(rest.select("row", "root"))
+    return _named(members, heads, checkpointed(_roots(edges))).select("doc_id", "class_id")
 
 
 def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -512,5 +562,5 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without near copies: of each class, the document with the smallest id stays; same columns. Rows with a null id stay."""
-    later = checkpointed(_classes(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
+    later = checkpointed(_groups_only(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
     return docs.join(small_or_shuffled(later), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

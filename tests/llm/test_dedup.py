@@ -135,9 +135,13 @@ def brute_groups(pairs):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("seed", [1, 4])
-def test_drop_near(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (4, 1000), (5, 4)])
+def test_drop_near(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rows = corpus(seed)
+    # A class of near copies, and a chain in which only neighbours are near.
+    rows += [(300 + i, " ".join(f"x{k}" if k != i else f"y{i}" for k in range(40))) for i in range(20)]
+    rows += [(400 + i, " ".join(f"z{k}" for k in range(8 * i, 8 * i + 40))) for i in range(8)]
     df = frame(spark, rows)
     roots = brute_groups(brute_join(rows, 5, 0.45))
     kept = ngram_join.drop_near(df)
