@@ -142,7 +142,7 @@ def _problem(found: dict | None, root: str, key: str) -> str | None:
 
 
 def stream_of(logits: DataFrame) -> str:
-    """The hash of the scored tokens, in order of sequence and position; a sample is as small as its protocol says."""
+    """The hash of the scored tokens, in order of sequence and position; sequences may differ in length."""
     tokens = logits.where("token_id IS NOT NULL").groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
     return corpus.stream_hash(tokens.select("seq_id", F.col("t.token_id").alias("tokens")))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +111,20 @@ def calibration_chunks(rows: DataFrame, tokenize: Callable[[str], Column], sampl
 
 
 def stream_hash(sequences: DataFrame) -> str:
-    """Sixteen hex digits over the sample's ids as little-endian 32-bit integers, in order of sequence. The sample is small by construction."""
-    rows = sequences.orderBy("seq_id").select("tokens").collect()
-    return hashlib.sha256(np.array([r[0] for r in rows], dtype="<i4").tobytes()).hexdigest()[:16]
+    """Sixteen hex digits over the ids as little-endian 32-bit integers, in order of sequence. Sequences may differ in length; one without ids, or an id that is null, is an error.
+
+    Tasks pack their ranges of the order into bytes, and the driver hashes one range after the other: it holds one at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            ids = lists.flatten()
+            if lists.null_count or ids.null_count:
+                raise ValueError("a token stream has an id that is null")
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(ids).astype("<i4").tobytes()], pa.binary())], names=["ids"])
+
+    digest = hashlib.sha256()
+    for (ids,) in sequences.orderBy("seq_id").select(F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "ids binary").toLocalIterator():
+        digest.update(ids)
+    return digest.hexdigest()[:16]
