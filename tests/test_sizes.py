@@ -34,6 +34,6 @@ def test_stream_hash_takes_sequences_of_any_length(spark):
             corpus.stream_hash(made((1, [1]), (2, bad)))
 
 
-@pytest.mark.parametrize("name", ["api2_score_students", "api4_errors", "c2_lifecycle", "c8_touch", "f15_witness", "f19_now"])
+@pytest.mark.parametrize("name", ["api2_score_students", "api4_errors", "c2_lifecycle", "c8_touch", "f15_witness", "f19_now", "sk2_shards"])
 def test_last_sequence_is_shorter(spark, cut_short, name):
     equals_sql(spark, cut_short, name)
