@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from driftquarry.plans import registry
+from driftquarry.functions import arrow_kernel
+from driftquarry.operators import score
+from driftquarry.plans import base, kernel_queries, registry
 from driftquarry.sources import corpus
 
 from .test_queries import rows
@@ -37,3 +40,27 @@ def test_stream_hash_takes_sequences_of_any_length(spark):
 @pytest.mark.parametrize("name", ["api2_score_students", "api4_errors", "c2_lifecycle", "c8_touch", "f15_witness", "f19_now", "sk2_shards"])
 def test_last_sequence_is_shorter(spark, cut_short, name):
     equals_sql(spark, cut_short, name)
+
+
+def test_wide_logits_stay_in_the_worker(spark, sf_dir):
+    """The wide query equals scoring of logits that are a column, without any such column: one Python pass, over inputs."""
+    made = kernel_queries.k7_wide(spark, sf_dir)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    own = [kernel_queries._wide(spark, sf_dir, bits).where("seq_id < 3") for bits in (0, 8)]
+    want = score.score_student(arrow_kernel.teacher_topk(own[0], 4096), own[1].drop("token_id", "attn"))
+    want = want.select("seq_id", "pos", base.r8("kld", 6), "top1", "top5", base.r8("floor_kld", 6))
+    got = [tuple(r) for r in made.where("seq_id < 3").collect()]
+    assert sorted(got) == sorted(map(tuple, want.collect())) and len(got) > 20
+
+
+def test_made_scores_without_inputs_or_next_tokens(spark):
+    """Rows without inputs have null scores, and shifts are those of score_student."""
+    shape = "seq_id int, pos int, token_id int, attn boolean, teacher_input array<double>"
+    inputs = [[1.0, 2.0, 3.0], None, [5.0, 1.0, 2.0], [], [0.0, 1.0, 0.5]]
+    teacher = spark.createDataFrame([(0, i, i % 3, True, x) for i, x in enumerate(inputs)], shape)
+    students = spark.createDataFrame([("s", 0, i, x) for i, x in enumerate(inputs)], "student string, seq_id int, pos int, student_input array<double>")
+    got = score.score_made(teacher, students, 1, 3, (lambda x: x, lambda x: x * 0.5)).orderBy("pos").collect()
+    half = students.select("student", "seq_id", "pos", F.transform("student_input", lambda x: x * 0.5).alias("logits"))
+    want = score.score_student(arrow_kernel.teacher_topk(teacher.withColumnRenamed("teacher_input", "logits"), 1), half).orderBy("pos").collect()
+    assert got == want and got[1]["kld"] is None and got[0]["delta_p"] is not None and got[4]["delta_p"] is None
