@@ -17,7 +17,6 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +26,9 @@ from driftquarry.functions import arrow_kernel, text
 from driftquarry.operators import aggregate, cache_admin, score, tokenizers
 from driftquarry.sources import corpus, files, shared
 
+#: Bytes of an Arrow batch of texts: a worker holds one, and its ids.
+TEXT_BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Protocol:
@@ -236,13 +238,23 @@ def model_logits(chunks: DataFrame, model: Callable[[np.ndarray], np.ndarray], b
 
 
 def tokenize_with(encode: Callable[[str], list[int]]) -> Callable[[str], Column]:
-    """A user's encoder as a column function for `corpus`, in Arrow batches."""
-
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else list(encode(t)))
-
-    return ids
+    """A user's encoder as a column function for `corpus`, in Arrow batches of `TEXT_BYTES`."""
+
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        # Ids are packed text by text: as Python's lists, those of a batch would take many times its bytes.
+        found = (t.as_py() for t in texts)
+        packed = [None if t is None else pa.array(e if isinstance(e := encode(t), np.ndarray) else list(e), pa.int32()) for t in found]
+        ends = np.cumsum([0, *[0 if p is None else len(p) for p in packed]])
+        flat = pa.concat_arrays([pa.array([], pa.int32()), *[p for p in packed if p is not None]])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([p is None for p in packed], pa.bool_()))
+
+    def column(texts: Column | str) -> Column:
+        if spark := SparkSession.getActiveSession():
+            arrow_kernel.bound_batches(spark, TEXT_BYTES)
+        return ids(texts)
+
+    return column
 
 
 def identity(teacher: str) -> str:

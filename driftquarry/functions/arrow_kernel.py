@@ -23,11 +23,11 @@ from .kernel import HEAD_CAP
 VALUES, MADE, BATCH_BYTES = 4_000_000, 1_000_000, 64 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Arrow batches by bytes, not only by rows: ten thousand rows of logits are gigabytes. A smaller bound that the session has stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if int(spark.conf.get(name).rstrip("bB")) > most:
+        spark.conf.set(name, str(most))
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

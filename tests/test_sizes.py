@@ -1,9 +1,11 @@
 """Queries over tables of other sizes than the given ones: sequences cut short, several files, long texts."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftquarry import api
 from driftquarry.functions import arrow_kernel
 from driftquarry.operators import score
 from driftquarry.plans import base, kernel_queries, registry
@@ -64,3 +66,17 @@ def test_made_scores_without_inputs_or_next_tokens(spark):
     half = students.select("student", "seq_id", "pos", F.transform("student_input", lambda x: x * 0.5).alias("logits"))
     want = score.score_student(arrow_kernel.teacher_topk(teacher.withColumnRenamed("teacher_input", "logits"), 1), half).orderBy("pos").collect()
     assert got == want and got[1]["kld"] is None and got[0]["delta_p"] is not None and got[4]["delta_p"] is None
+
+
+def test_tokenizer_batches_are_bounded_in_bytes(spark):
+    """A worker is given some long texts at a time, and ids come back whole, as nulls and empty lists too."""
+    given = [(0, None), (1, ""), (2, "ab"), *[(i, "é" * 200_000) for i in range(3, 43)]]
+    df = spark.createDataFrame(given, "id int, text string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = {r["id"]: r["t"] for r in df.select("id", api.tokenize_with(lambda t: [len(t)])("text").alias("t")).collect()}
+    assert got[0] is None and got[1] == [0] and got[2] == [2] and got[42] == [200_000]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= api.TEXT_BYTES
+    whole = {r["id"]: r["t"] for r in df.select("id", api.tokenize_with(lambda t: np.frombuffer(t.encode(), np.uint8))("text").alias("t")).collect()}
+    assert whole[0] is None and whole[1] == [] and whole[2] == [97, 98] and whole[42] == [195, 169] * 200_000
+    with pytest.raises(Exception, match="4294967296|too large|out of"):
+        df.where("id = 2").select(api.tokenize_with(lambda t: [1 << 32])("text")).collect()
