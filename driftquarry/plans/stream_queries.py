@@ -15,8 +15,8 @@ from .base import FACTS, facts, query, r8, table
 @query("st1_stream_ingest", "SELECT doc_id AS row_idx, len(regexp_extract_all(lower(text), '[a-z]+'))::INT AS n FROM documents WHERE regexp_matches(text, '\\S')")
 def st1(spark, d):
     where = metrics.scratch(spark)
-    table(spark, d, "documents").repartition(4).write.parquet(f"{where}/in")
-    rows = metrics.available(spark, f"{where}/in").where(text.nonblank("text")).select(F.col("doc_id").alias("row_idx"), F.size(corpus.words("text")).alias("n"))
+    n = metrics.staged(table(spark, d, "documents"), f"{where}/in")
+    rows = metrics.available(spark, f"{where}/in", n).where(text.nonblank("text")).select(F.col("doc_id").alias("row_idx"), F.size(corpus.words("text")).alias("n"))
     metrics.accumulate(rows, f"{where}/rows", f"{where}/state")
     return metrics.accumulated(spark, f"{where}/rows")
 

@@ -39,6 +39,17 @@ def accumulated(spark: SparkSession, facts: str) -> DataFrame:
     return spark.read.parquet(facts).drop("batch")
 
 
+def staged(rows: DataFrame, path: str, batches: int = 4) -> int:
+    """Write rows as files of a folder for `available`, and how many files make one of `batches` batches.
+
+    Each task of the input writes its own rows, so what a task handles doesn't grow with the table; nothing is shuffled,
+    unless there are fewer tasks than batches, and then the table is small.
+    """
+    parts = rows.rdd.getNumPartitions()
+    (rows if parts >= batches else rows.repartition(batches)).write.parquet(path)
+    return -(-max(parts, batches) // batches)
+
+
 def available(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A stream over a folder's files, some at a time; rows and results are those of a batch scan."""
     schema = spark.read.parquet(path).schema

@@ -10,6 +10,7 @@ from driftquarry.functions import arrow_kernel
 from driftquarry.operators import score
 from driftquarry.plans import base, kernel_queries, registry
 from driftquarry.sources import corpus
+from driftquarry.streaming import metrics
 
 from .test_queries import rows
 
@@ -80,3 +81,30 @@ def test_tokenizer_batches_are_bounded_in_bytes(spark):
     assert whole[0] is None and whole[1] == [] and whole[2] == [97, 98] and whole[42] == [195, 169] * 200_000
     with pytest.raises(Exception, match="4294967296|too large|out of"):
         df.where("id = 2").select(api.tokenize_with(lambda t: [1 << 32])("text")).collect()
+
+
+@pytest.mark.parametrize("name,source", [("st1_stream_ingest", "documents")])
+def test_streams_are_staged_by_the_inputs_own_tasks(spark, sf_dir, tmp_path, monkeypatch, name, source):
+    """Eight files are staged as eight, not gathered into four tasks however large they are; four batches take them all."""
+    spark.read.parquet(f"{sf_dir}/{source}.parquet").repartition(8).write.parquet(str(tmp_path / f"{source}.parquet"))
+    monkeypatch.setattr(metrics, "scratch", lambda spark: str(tmp_path / "stream"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert len(list((tmp_path / "stream" / "in").glob("part-*.parquet"))) == 8
+    assert len(list((tmp_path / "stream").glob("*/batch=*"))) == 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {source} AS SELECT * FROM '{sf_dir}/{source}.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert got and rows(names, got) == rows(names, want.fetchall())
+
+
+def test_small_tables_are_staged_for_all_batches(spark, tmp_path):
+    assert metrics.staged(spark.range(10, numPartitions=1).toDF("i"), str(tmp_path / "a")) == 1
+    assert len(list((tmp_path / "a").glob("part-*.parquet"))) == 4
+    assert metrics.staged(spark.range(10, numPartitions=9).toDF("i"), str(tmp_path / "b")) == 3
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 10
