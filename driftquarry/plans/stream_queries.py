@@ -24,8 +24,8 @@ def st1(spark, d):
 @query("st3_online_metrics", f"WITH {FACTS} SELECT student, count(*) FILTER (WHERE ok) AS tokens_scored, round(avg(k), 7) AS mean, round(quantile_cont(k, 0.99), 7) AS p99 FROM facts GROUP BY student")
 def st3(spark, d):
     where = metrics.scratch(spark)
-    facts(spark, d).repartition(4, "seq_id").write.parquet(f"{where}/in")
-    metrics.accumulate(metrics.available(spark, f"{where}/in", 2), f"{where}/facts", f"{where}/state")
+    n = metrics.staged(facts(spark, d), f"{where}/in")
+    metrics.accumulate(metrics.available(spark, f"{where}/in", n), f"{where}/facts", f"{where}/state")
     out = aggregate.scalars(metrics.accumulated(spark, f"{where}/facts"), ("student",), {"p99": 0.99})
     return out.select("student", "tokens_scored", r8("mean", 7).alias("mean"), r8("p99", 7).alias("p99"))
 

@@ -83,7 +83,7 @@ def test_tokenizer_batches_are_bounded_in_bytes(spark):
         df.where("id = 2").select(api.tokenize_with(lambda t: [1 << 32])("text")).collect()
 
 
-@pytest.mark.parametrize("name,source", [("st1_stream_ingest", "documents")])
+@pytest.mark.parametrize("name,source", [("st1_stream_ingest", "documents"), ("st3_online_metrics", "lineitem")])
 def test_streams_are_staged_by_the_inputs_own_tasks(spark, sf_dir, tmp_path, monkeypatch, name, source):
     """Eight files are staged as eight, not gathered into four tasks however large they are; four batches take them all."""
     spark.read.parquet(f"{sf_dir}/{source}.parquet").repartition(8).write.parquet(str(tmp_path / f"{source}.parquet"))
