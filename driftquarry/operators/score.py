@@ -39,7 +39,8 @@ def score_made(teacher: DataFrame, students: DataFrame, k: int, vocab: int, made
     """What `score_student` gives, where `made` makes the teacher's and the students' logits from rows of inputs.
 
     `teacher`: seq_id, pos, token_id, attn, teacher_input; `students`: seq_id, pos, student_input and any columns that name
-    the student. Only inputs are shuffled; they are spread over all shuffle partitions, as a row's work is far larger than the row.
+    the student. Only inputs are shuffled. They are spread over the shuffle partitions, as a row's work is far larger than the row;
+    where the join has that partitioning already, Spark leaves this out and may merge small partitions.
     """
     spark = teacher.sparkSession
     named = [c for c in students.columns if c not in (*keys, "student_input")]
