@@ -9,7 +9,7 @@ from driftquarry import api
 from driftquarry.functions import arrow_kernel
 from driftquarry.operators import score
 from driftquarry.plans import base, kernel_queries, registry
-from driftquarry.sources import corpus
+from driftquarry.sources import corpus, files
 from driftquarry.streaming import metrics
 
 from .test_queries import rows
@@ -45,6 +45,19 @@ def test_last_sequence_is_shorter(spark, cut_short, name):
     equals_sql(spark, cut_short, name)
 
 
+def test_failing_build_has_begun(spark, sf_dir, tmp_path, monkeypatch):
+    """The lifecycle's last build fails while it writes, whichever row is read first: here one of the high ids."""
+    all_ids, where = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), str(tmp_path / "embeddings.parquet")
+    all_ids.where("vec_id > 300").coalesce(1).write.parquet(where)
+    all_ids.where("vec_id < 100").coalesce(1).write.mode("append").parquet(where)
+    assert base.logits(spark, str(tmp_path)).first()["vec_id"] > 300
+    begun, write = [], files.write_entry
+    monkeypatch.setattr(files, "write_entry", lambda *given: begun.append(given[2]) or write(*given))
+    got = [r["status"] for r in registry.queries()["c2_lifecycle"](spark, str(tmp_path)).orderBy("step").collect()]
+    assert got == ["MISS", "HIT", "REBUILD", "another tokenizer", "MISS", "removed after a failure"]
+    assert len(begun) == 4 and len(set(begun)) == 2
+
+
 def test_wide_logits_stay_in_the_worker(spark, sf_dir):
     """The wide query equals scoring of logits that are a column, without any such column: one Python pass, over inputs."""
     made = kernel_queries.k7_wide(spark, sf_dir)
